@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that go to a Python worker at once. Texts can be long; the kernels slice further by bytes.
 BATCH_ROWS = 1000
+#: Spark drops the shuffle files of a query when it ends; intermediate tables are written once and then read.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +31,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read again: its lineage ends there."""
-    path = scratch(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was) if was else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .decontaminate import op10_decontaminate
+from .jaccard import op1_jaccard_join
 from .quality import op7_quality
+from .substrings import op6_substrings
 
-QUERIES = {"op5_bpe": op5_bpe, "op7_quality": op7_quality, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_quality": op7_quality, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
+    "op6_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g),
+gone AS (SELECT DISTINCT doc_id, j FROM r, unnest(range(i, i + 20)) AS t(j) WHERE k > 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(w[j], ' ' ORDER BY j) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d) LEFT JOIN (SELECT doc_id, j, 1 AS x FROM gone) USING (doc_id, j) WHERE x IS NULL GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op10_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
