@@ -29,17 +29,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The frame, written as Parquet to the shared folder and read again: its lineage ends there."""
+def write_once(df: DataFrame, path: str, **options: str) -> None:
+    """Writes Parquet and lets go of the shuffle files that it took."""
     spark = df.sparkSession
-    path = scratch(spark, name)
     was = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, was) if was else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The frame, written as Parquet to the shared folder and read again: its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    write_once(df, path, **options)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .counts import ORACLE as COUNTS_ORACLE
+from .counts import op9_token_counts
 from .decontaminate import op10_decontaminate
 from .jaccard import op1_jaccard_join
 from .quality import op7_quality
 from .substrings import op6_substrings
+from .tokens import op4_token_files
+from .urls import op8_url_filters
+from .urls import oracle as urls_oracle
+from .warc import op2_warc
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_quality": op7_quality, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_warc": op2_warc, "op4_token_files": op4_token_files, "op8_url_filters": op8_url_filters, "op9_token_counts": op9_token_counts, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_quality": op7_quality, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
+    "op2_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+d AS (SELECT *, sha1(html) AS hex FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN last IS NULL OR page_id = last THEN NULL ELSE last END AS refers_to
+FROM d
+""",
+    "op8_url_filters": urls_oracle(),
+    "op9_token_counts": COUNTS_ORACLE,
     "op6_substrings": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
