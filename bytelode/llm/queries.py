@@ -7,6 +7,7 @@ from .counts import ORACLE as COUNTS_ORACLE
 from .counts import op9_token_counts
 from .decontaminate import op10_decontaminate
 from .jaccard import op1_jaccard_join
+from .licenses import op3_licenses
 from .quality import op7_quality
 from .substrings import op6_substrings
 from .tokens import op4_token_files
@@ -14,7 +15,7 @@ from .urls import op8_url_filters
 from .urls import oracle as urls_oracle
 from .warc import op2_warc
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_warc": op2_warc, "op4_token_files": op4_token_files, "op8_url_filters": op8_url_filters, "op9_token_counts": op9_token_counts, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_quality": op7_quality, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_warc": op2_warc, "op3_licenses": op3_licenses, "op4_token_files": op4_token_files, "op8_url_filters": op8_url_filters, "op9_token_counts": op9_token_counts, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_quality": op7_quality, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
     "op2_warc": r"""
