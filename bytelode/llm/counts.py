@@ -18,19 +18,19 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import scratch, table, tuned, write_once
+from ._shared import scratch, table, tuned, write_once, written
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def signed(changes: DataFrame) -> DataFrame:
+def signed(rows: DataFrame) -> DataFrame:
     """A row a key: documents and tokens to add."""
     op, n, old = F.col("op"), F.coalesce("n_tokens", F.lit(0)).cast("long"), F.coalesce("old_tokens", F.lit(0)).cast("long")
     bad = F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce(op, F.lit("null")))).cast("long")
     docs = F.when(op == "insert", 1).when(op == "delete", -1).when(op == "revise", 0).otherwise(bad)
     tokens = F.when(op == "insert", n).when(op == "delete", -n).otherwise(n - old)
-    return changes.select(*KEYS, docs.alias("n_docs"), tokens.alias("n_tokens")).groupBy(*KEYS).agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
+    return rows.select(*KEYS, docs.alias("n_docs"), tokens.alias("n_tokens")).groupBy(*KEYS).agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
 
 
 class Rollup:
@@ -50,7 +50,7 @@ class Rollup:
             return []
         return sorted(n for s in self._system.listStatus(folder) if self._done(f"{self.path}/{kind}/{(n := s.getPath().getName())}"))
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
+    def commit(self, batch: str, rows: DataFrame) -> bool:
         """Applies a batch; False if it was committed before."""
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
             raise ValueError(f"a batch can't be named {batch!r}")
@@ -58,7 +58,7 @@ class Rollup:
         if self._done(path) or batch in self._held():
             return False
         self._system.delete(self._fs.Path(path), True)
-        write_once(signed(changes), path)
+        write_once(signed(rows), path)
         return True
 
     def batches(self) -> list[str]:
@@ -92,51 +92,54 @@ class Rollup:
             self._system.delete(self._fs.Path(f"{self.path}/{gone}"), True)
 
 
-#: Tokenizers of the query: pattern of a token, lower-cased first or not. They can be told in SQL.
-VERSIONS = {"words-1": (r"[^\x20\x09-\x0D]+", False), "letters-1": (r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", True)}
+# Patterns of a token, for the query's tokenizers, which can be told in SQL: words between white space; those of them that
+# aren't bare symbols; runs of digits, letters and non-ASCII characters.
+WORDS = r"[^\x20\x09-\x0D]+"
+PLAIN_WORDS = r"[^\x20\x09-\x0D]*[^\x20\x09-\x0D|#*$%&!]+[^\x20\x09-\x0D]*"
+LETTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def counted(docs: DataFrame, version: str) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, n_tokens)."""
-    pattern, lower = VERSIONS[version]
+def pattern_counted(docs: DataFrame, **patterns: str) -> DataFrame:
+    """``docs`` without the text, with the number of matches of each pattern."""
     text = F.coalesce("text", F.lit(""))
-    if lower:
-        text = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return docs.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), F.regexp_count(text, F.lit(pattern)).cast("long").alias("n_tokens"))
+    own = [c for c in docs.columns if c not in ("text", *patterns)]
+    return docs.select(*own, *(F.regexp_count(text, F.lit(p)).cast("long").alias(n) for n, p in patterns.items()))
 
 
 def bpe_counted(docs: DataFrame, vocabulary: str, version: str) -> DataFrame:
-    """The same counts by a byte-level BPE vocabulary."""
+    """(doc_id, source, lang, tokenizer, n_tokens) by a byte-level BPE vocabulary."""
     from .bpe import encode
 
     encoded = encode(docs.select("doc_id", "source", "lang", "text"), vocabulary)
     return encoded.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), (F.length("ids") / 4).cast("long").alias("n_tokens"))
 
 
+def changes(rows: DataFrame, op: str, tokenizer: str, count: str, old: str | None = None) -> DataFrame:
+    """A batch of one kind from a table of counts."""
+    before = F.col(old) if old else F.lit(None).cast("long")
+    return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(count).alias("n_tokens"), before.alias("old_tokens"))
+
+
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` under two tokenizers; toxic ones deleted, poor ones revised; batches sent twice count once."""
     rollup = Rollup(spark, scratch(spark, "token-counts"))
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    none = F.lit(None).cast("long").alias("old_tokens")
-    first = counted(docs, "words-1").select(F.lit("insert").alias("op"), *KEYS, "n_tokens", none)
-    second = counted(docs, "letters-1").select(F.lit("insert").alias("op"), *KEYS, "n_tokens", none)
-    labelled = docs.join(labels, "doc_id")
-    toxic = counted(labelled.where("toxic = 1"), "words-1").unionByName(counted(labelled.where("toxic = 1"), "letters-1"))
-    deletes = toxic.select(F.lit("delete").alias("op"), *KEYS, "n_tokens", none)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    # texts are counted once and left behind; what is joined are a few numbers a document
+    counted = written(pattern_counted(docs, words=WORDS, plain=PLAIN_WORDS, letters=LETTERS), "counted")
+    labelled = counted.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    toxic, poor = labelled.where("toxic = 1"), labelled.where("quality = 0 AND toxic = 0")
+    first, second = changes(counted, "insert", "words-1", "words"), changes(counted, "insert", "letters-1", "letters")
+    deletes = changes(toxic, "delete", "words-1", "words").unionByName(changes(toxic, "delete", "letters-1", "letters"))
     # a poor document's words are counted anew without the bare symbols between them
-    poor = labelled.where("quality = 0 AND toxic = 0")
-    fewer = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]*[^\x20\x09-\x0D|#*$%&!]+[^\x20\x09-\x0D]*")).cast("long")
-    revised = poor.select(F.lit("revise").alias("op"), "source", "lang", F.lit("words-1").alias("tokenizer"), fewer.alias("n_tokens"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(VERSIONS["words-1"][0])).cast("long").alias("old_tokens"))
-    for name, changes in (("words", first), ("letters", second), ("toxic", deletes), ("words", first), ("poor", revised), ("toxic", deletes)):
-        rollup.commit(name, changes)
+    revised = changes(poor, "revise", "words-1", "plain", "words")
+    for name, rows in (("words", first), ("letters", second), ("toxic", deletes), ("words", first), ("poor", revised), ("toxic", deletes)):
+        rollup.commit(name, rows)
     return rollup.totals()
 
 
-ORACLE = r"""
+ORACLE = f"""
 WITH c AS (SELECT d.doc_id, source, lang, coalesce(l.toxic, 0) = 1 AS toxic, coalesce(l.quality = 0 AND l.toxic = 0, false) AS poor,
-  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
-  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]*[^\x20\x09-\x0D|#*$%&!]+[^\x20\x09-\x0D]*')) AS f,
-  len(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS a
+  len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS w, len(regexp_extract_all(coalesce(text, ''), '{PLAIN_WORDS}')) AS f, len(regexp_extract_all(coalesce(text, ''), '{LETTERS}')) AS a
   FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM (
   SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN poor THEN f ELSE w END AS n FROM c WHERE NOT toxic
