@@ -8,7 +8,8 @@ order of their ids, and can be decoded on its own; ``bits`` are code words from
 stretches decode side by side.
 
 The lengths come from exact global counts by package-merge under ``LIMIT`` bits. Texts are encoded once; words
-between spaces, newlines and tabs, which no token spans, are encoded once a task and looked up after that.
+between spaces, newlines and tabs, which no token spans, are encoded once and looked up after that, while a worker
+remembers them.
 
 A null text is empty and has the end id only. Rows that share an id stand next to each other in order of text; a
 null id comes first. Other columns are left out.
@@ -16,8 +17,10 @@ null id comes first. Other columns are left out.
 
 from __future__ import annotations
 
+import string
 import zlib
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,9 @@ from ._arrow import column, texts_of
 from ._shared import scratch, table, tuned, write_once, written
 from ._text import slices
 
-LIMIT, STRIDE, BLOCK_TOKENS = 16, 256, 1 << 17
+LIMIT, STRIDE, BLOCK_TOKENS = 16, 256, 1 << 18
 #: Words whose ids a worker remembers.
-CACHED = 200_000
+CACHED = 600_000
 
 
 @lru_cache(2)
@@ -44,24 +47,64 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordEncoder:
-    """Ids of texts by the tokenizers library, as little-endian bytes of one width."""
+#: The byte-level alphabet of the model: printable bytes stand for themselves, the others for the characters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = iter(range(256, 512))
+ALPHABET = [chr(b if b in _PRINTABLE else next(_OTHERS)) for b in range(256)]
+MARKS = string.punctuation
+
+
+class WordEncoder(dict):
+    """Ids of words, and so of texts, by the tokenizers library, as little-endian bytes of one width.
+
+    A word of Latin letters, with or without punctuation behind it, is one pre-token and perhaps a second. So the letters
+    go to the library's model as they are, lower-cased, and are remembered apart from the punctuation. Whatever else
+    stands between spaces goes through the whole library.
+    """
 
     def __init__(self, path: str, dtype: str):
-        self.tokenizer, self.dtype, self.known = tokenizer(path), dtype, {"": b""}
+        super().__init__()
+        self.tokenizer = tokenizer(path)
+        self.model, self.letter = self.tokenizer.model, {"<u2": "H", "<u4": "I"}[dtype]
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        low = core.lower()
+        ids = self.letters.get(low)
+        if ids is None:
+            # Latin letters below U+0250 are composed already, and their lower case is theirs alone
+            if not core.isalpha() or not core.isascii() and (max(core) >= "\u0250" or "\u0130" in core):
+                ids = self[word] = self._whole(word)
+                return ids
+            own = [t.id for t in self.model.tokenize(low if low.isascii() else "".join([ALPHABET[b] for b in low.encode()]))]
+            ids = self.letters[low] = pack(f"<{len(own)}{self.letter}", *own)
+        if len(core) < len(word):
+            mark = word[len(core) :]
+            own = self.marks.get(mark)
+            if own is None:
+                own = self.marks[mark] = self._whole(mark)
+            ids += own
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {"": b""}
-        fresh = list(set().union(*split).difference(self.known))
-        # in portions: the library's result of a word is some hundred bytes
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for held in (self, self.letters, self.marks):
+            if len(held) > CACHED:
+                held.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
+
+
+@lru_cache(2)
+def encoder(path: str, dtype: str) -> WordEncoder:
+    """A worker's encoder, with what it remembers from task to task."""
+    return WordEncoder(path, dtype)
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -146,19 +189,19 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str,
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_path, dtype)
+        encode = encoder(tokenizer_path, dtype).encode
         end = np.array([end_id], dtype).tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in slices(batch, text_col):
-                ids = [x + end for x in encoder.encode(texts_of(piece, text_col))]
+                ids = [x + end for x in encode(texts_of(piece, text_col))]
                 n = np.array([len(x) for x in ids]) // np.dtype(dtype).itemsize
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int32()), pa.array(starts), column(piece, id_col), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["part", "at", "id", "n", "ids"])
 
     ordered = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
-    return written(ordered.mapInArrow(run, f"part int, at long, id {kind}, n long, ids binary"), "tokens", compression="zstd"), dtype
+    return written(ordered.mapInArrow(run, f"part int, at long, id {kind}, n long, ids binary"), "tokens", compression="uncompressed"), dtype
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, block_tokens: int = BLOCK_TOKENS) -> None:
@@ -193,7 +236,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
         before[part] = seen
         seen += sums[part]
 
-    def pack(batches):
+    def into_blocks(batches):
         code = Code(length)
         held, following = [], None
 
@@ -224,7 +267,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
             yield close()
 
     schema = f"first long, n_tokens long, documents array<{kind}>, starts array<long>, bits binary, checkpoints binary"
-    blocks = tokens.mapInArrow(pack, schema)
+    blocks = tokens.mapInArrow(into_blocks, schema)
     # files of near equal spans of the corpus, each in order
     files = max(1, len(sums))
     span = max(1, -(-seen // files))

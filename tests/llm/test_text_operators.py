@@ -182,6 +182,16 @@ def test_token_files(spark, docs, tmp_path):
     assert tokens.read_tokens(spark, f"{path}-none").collect() == []
 
 
+def test_word_encoder_is_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = tokens.tokenizer(path), tokens.WordEncoder(path, "<u2")
+    rng = random.Random(4)
+    alphabet = list("abzABZ.,!?'#*%$<|>éÉßÇñĲŉǄİıſÀ0²ªº_-&\u0301\u0130ΣσςАя漢\x1c\x85\u00a0\u2028\r\t\n") + ["'re", "</w>", "<|endoftext|>", "  "]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    for text, ids in zip(texts, e.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_huffman_codes():
     rng = np.random.default_rng(2)
     for n, limit in ((1, 16), (2, 16), (300, 9), (5000, 16)):
