@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once. Texts can be long; the kernels slice further by bytes.
 BATCH_ROWS = 1000
@@ -56,3 +57,16 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """The ``bound`` rows of the smallest hash of ``key``, or all if there are fewer.
+
+    A count tells which share of all hashes is sure to hold them with room to spare, so that each task passes on its
+    part of that share only, not ``bound`` rows.
+    """
+    n = df.count()
+    if n > 4 * bound:
+        top = 4 * bound + 1000
+        df = df.where(F.xxhash64(key) < F.lit(min((1 << 63) - 1, -(1 << 63) + top * (1 << 64) // n)))
+    return df.orderBy(F.xxhash64(key), key).limit(bound)

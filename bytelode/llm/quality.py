@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import add_columns, column, texts_of
-from ._shared import table, tuned
+from ._shared import bounded_sample, table, tuned
 from ._text import Words, flat, grams, mix
 
 MAX_LABELLED = 20_000
@@ -185,7 +185,8 @@ def add_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Trees | None:
     """Trees fitted on a bounded sample of labelled rows; None where the labels don't show both classes."""
-    sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
+    sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    sample = bounded_sample(sample, id_col, max_labelled)
     # at most max_labelled rows of two numbers
     own = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
     got = add_statistics(own, text_col).drop(text_col, id_col).toArrow()

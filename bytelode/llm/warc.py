@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import column
-from ._shared import scratch, table, tuned, written
+from ._shared import bounded_sample, scratch, table, tuned, written
 
 DICTIONARY_RECORDS, DICTIONARY_RECORD_BYTES, DICTIONARY_BYTES = 400, 1 << 16, 1 << 16
 #: Magic of the frame with the dictionary, and an empty skippable frame.
@@ -127,7 +127,8 @@ def find_revisits(pages: DataFrame, id_col: str, payload_col: str, least: int) -
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> None:
     """Writes ``path``/*.warc.zst, one archive for each partition of ``pages``."""
     spark = tuned(pages.sparkSession)
-    sample = pages.where((F.octet_length(payload_col) > 0) & (F.octet_length(payload_col) <= DICTIONARY_RECORD_BYTES)).select(id_col, url_col, payload_col).orderBy(F.xxhash64(id_col), id_col).limit(DICTIONARY_RECORDS)
+    sample = pages.where((F.octet_length(payload_col) > 0) & (F.octet_length(payload_col) <= DICTIONARY_RECORD_BYTES)).select(id_col, url_col, payload_col)
+    sample = bounded_sample(sample, id_col, DICTIONARY_RECORDS)
     dictionary = build_dictionary([record(r[0], r[1], r[2].encode(), None, False, date) for r in sample.collect()])
     revisits = find_revisits(pages, id_col, payload_col, least)
     if revisits.count() <= BROADCAST_ROWS:
