@@ -116,6 +116,12 @@ class Words:
             at, left = at[keep] + 8, left[keep] - 8
 
 
+def plain_words(col: pa.Array) -> Words:
+    """Lower-cased (A-Z) words: runs of digits, letters and non-ASCII characters."""
+    buf, off = flat(col)
+    return Words(LOWER[buf], off, ALNUM)
+
+
 def grams(words: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """Hashes of the n-grams that start at each word of a flat sequence (rows are not told apart)."""
     k = len(words) - n + 1

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import add_columns, column
 from ._shared import table, tuned
-from ._text import ALNUM, LOWER, Words, flat, mix, odd_constants, spans_to_mask
+from ._text import ALNUM, Words, mix, odd_constants, plain_words, spans_to_mask
 
 #: Benchmark text that a task holds at once.
 BLOCK_BYTES = 16 << 20
@@ -34,12 +34,6 @@ STRETCH = 256
 _A, _B = odd_constants(2, 77)
 
 
-def words_of(col: pa.Array) -> Words:
-    """Lower-cased (A-Z) words: runs of digits, letters and non-ASCII characters."""
-    buf, off = flat(col)
-    return Words(LOWER[buf], off, ALNUM)
-
-
 class Patterns:
     """Wu-Manber tables of patterns of one length, in words."""
 
@@ -102,7 +96,7 @@ class Benchmark:
     def __init__(self, items: list[tuple[str, str]], window: int):
         by_length: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
         for name, text in items:
-            w = words_of(pa.array([text], pa.large_string()))
+            w = plain_words(pa.array([text], pa.large_string()))
             raw = w.buf.tobytes()
             words = [raw[s:e] for s, e in zip(w.start.tolist(), w.end.tolist(), strict=True)]
             size = min(window, len(words))
@@ -147,7 +141,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             bench = Benchmark(items, window)
 
             def run(part: pa.RecordBatch) -> list:
-                words = words_of(column(part, text_col))
+                words = plain_words(column(part, text_col))
                 hit = np.zeros(len(words), bool)
                 names: dict[int, set[str]] = defaultdict(set)
                 for start, end, found in bench.search(words):

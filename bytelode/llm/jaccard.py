@@ -1,7 +1,8 @@
 """N-gram Jaccard join by chosen paths.
 
-A document's set holds the hashes of its ``shingle``-word runs (words are runs of other bytes than ASCII white
-space, unchanged; a text of fewer words, but not none, is one shingle). Equal sets are one node from the start.
+A document's set holds the hashes of its ``shingle``-word runs (words are runs of digits, letters and non-ASCII
+characters, A-Z lower-cased; a text of fewer words, but not none, is one shingle). Equal sets are one node from the
+start.
 
 Each of ``runs`` runs starts from ``CHOICES`` sampled coordinates of a minhash signature: nodes that share the
 sampled token (the minimum there) share a bucket. A bucket of more than ``limit`` nodes chooses, by its own hash,
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import column, grouped
 from ._shared import table, tuned, written
-from ._text import Ranges, Words, flat, grams, i64, mix, odd_constants, slices
+from ._text import Ranges, grams, i64, mix, odd_constants, plain_words, slices
 from .components import connected_components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -50,7 +51,7 @@ def runs_for(similarity: float, recall: float) -> int:
 
 def sets_of(col: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, flat, and their offsets."""
-    words = Words(*flat(col))
+    words = plain_words(col)
     h = words.hashes()
     g = grams(h, shingle)
     short = np.flatnonzero((words.count > 0) & (words.count < shingle))
@@ -260,7 +261,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     graph = nodes.select("f1", "f2", "n", "id", "copies").join(classes, "id", "left").join(linked, "id", "left")
     graph = written(graph.select("f1", "f2", "n", F.coalesce("label", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies")), "graph")
     rows = marked.select("id", "f1", "f2", "n").join(graph, ["f1", "f2", "n"]).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
-    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
     alone = docs.where(F.col(id_col).isNull() | ~has_words).select(id_col, F.col(id_col).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return rows.unionByName(alone)
 

@@ -18,6 +18,19 @@ from .warc import op2_warc
 QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_warc": op2_warc, "op3_licenses": op3_licenses, "op4_token_files": op4_token_files, "op8_url_filters": op8_url_filters, "op9_token_counts": op9_token_counts, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_quality": op7_quality, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
+    "op1_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS m FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * k >= 4 * (x.n + y.n)),
+r AS (SELECT DISTINCT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT id, min(seen) AS class_id FROM r GROUP BY 1),
+d AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY 1),
+t AS (SELECT doc_id, count(*) OVER (PARTITION BY m) AS n_copies FROM n)
+SELECT documents.doc_id, coalesce(class_id, documents.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_copies, 1)::BIGINT AS n_copies
+FROM documents LEFT JOIN c ON c.id = documents.doc_id LEFT JOIN d ON d.id = documents.doc_id LEFT JOIN t ON t.doc_id = documents.doc_id
+""",
     "op2_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
 d AS (SELECT *, sha1(html) AS hex FROM p)

@@ -35,7 +35,7 @@ def words(text):
 
 
 def shingles(text):
-    w = words(text)
+    w = bench_words(text)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
