@@ -16,22 +16,28 @@ from ..functions.options import PARALLEL_FROM, WINDOW, CodecError, Options
 
 
 def split_blocks(blobs: DataFrame, content: str = "content", opts: Options = Options()) -> DataFrame:
-    """``blobs`` with content replaced by seq, off, raw_len, total, is_last, raw and dict. An empty blob has one empty block."""
-    size = F.octet_length(content)
+    """``blobs`` with content replaced by seq, off, raw_len, total, is_last, raw and dict. An empty blob has one empty block.
+
+    Blocks are cut before they become rows, so that no row carries the whole blob with it.
+    """
+    size, c = F.octet_length(content), F.col(content)
     if opts.rsyncable:
-        blobs = blobs.withColumn("__ends", C.block_ends(content, opts)).withColumn("__spans", F.transform("__ends", lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get("__ends", i - 1)).alias("off"), e.alias("end"))))
-        rows = blobs.select(*(c for c in blobs.columns if not c.startswith("__")), F.posexplode("__spans").alias("seq", "__s"))
-        off, end = F.col("__s.off"), F.col("__s.end")
+        ends = C.block_ends(content, opts)
     else:
-        rows = blobs.select("*", F.posexplode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(opts.block_size))).alias("seq", "__off"))
-        off = F.col("__off")
-        end = F.least(off + opts.block_size, size)
-    c = F.col(content)
-    out = {"off": off.cast("long"), "raw_len": (end - off).cast("long"), "total": size.cast("long"), "is_last": end == size, "raw": c.substr(off + 1, end - off)}
-    before = F.least(off, F.lit(WINDOW))
-    out["dict"] = F.unhex(F.lit("")) if opts.independent else c.substr(off - before + 1, before)
-    keep = [x for x in blobs.columns if x != content and not x.startswith("__")]
-    return rows.select(*keep, F.col("seq"), *(v.alias(k) for k, v in out.items()))
+        step = F.lit(opts.block_size)
+        ends = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), step), lambda off: F.least(off + step, size))
+    keep = [x for x in blobs.columns if x != content]
+    cut = blobs.select(*keep, c, ends.alias("__ends"))
+
+    def block(end: Column, i: Column) -> Column:
+        off = F.when(i == 0, F.lit(0)).otherwise(F.get("__ends", i - 1))
+        before = F.least(off, F.lit(WINDOW))
+        window = F.unhex(F.lit("")) if opts.independent else c.substr(off - before + 1, before)
+        return F.struct(off.cast("long").alias("off"), (end - off).cast("long").alias("raw_len"), c.substr(off + 1, end - off).alias("raw"), window.alias("dict"))
+
+    rows = cut.select(*keep, size.cast("long").alias("total"), F.posexplode(F.transform("__ends", block)).alias("seq", "__b"))
+    off, raw_len = F.col("__b.off"), F.col("__b.raw_len")
+    return rows.select(*keep, "seq", off.alias("off"), raw_len.alias("raw_len"), "total", (off + raw_len == F.col("total")).alias("is_last"), F.col("__b.raw").alias("raw"), F.col("__b.dict").alias("dict"))
 
 
 def deflate_blocks(blocks: DataFrame, opts: Options = Options()) -> DataFrame:
