@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -151,9 +152,13 @@ def dos_to_unix(stamp: Column) -> Column:
     return F.when(stamp != 0, F.make_timestamp(bits(25, 7) + 1980, bits(21, 4), bits(16, 5), bits(11, 5), bits(5, 6), (bits(0, 5) * 2).cast("decimal(16,6)")))
 
 
-def zip_pack(content: Column | str, name: Column | str, compress_type: Column | str, opts: Options = Options()) -> Column:
-    """(method, stored, crc) of a member."""
-    return arrow_function("struct<method: int, stored: binary, crc: long>", lambda c, n, k: dict(zip(("method", "stored", "crc"), pack_member(c, n, 8 if k is None else k, opts), strict=True)), content, name, compress_type)
+def zip_pack(content: Column | str, name: Column | str, compress_type: Column | str, level: Column | str, opts: Options = Options()) -> Column:
+    """(method, stored, crc) of a member; null types and levels are those of the options."""
+
+    def packed(c, n, kind, own):
+        return dict(zip(("method", "stored", "crc"), pack_member(c, n, 8 if kind is None else kind, opts if own is None else replace(opts, level=own)), strict=True))
+
+    return arrow_function("struct<method: int, stored: binary, crc: long>", packed, content, name, compress_type, level)
 
 
 def png_encode(pixels: Column | str, width: Column | str, height: Column | str, channels: Column | str, **options) -> Column:

@@ -67,6 +67,39 @@ def lookup(entries: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return last_of_each_name(entries.where(F.col("filename") == normalize_member(F.lit(name))), keys)
 
 
+def contains(entries: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """(keys, found) of each archive: whether a name, normalised, is in its catalog."""
+    return entries.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col("filename") == normalize_member(F.lit(name))), F.lit(False)).alias("found"))
+
+
+def read_by_name(members: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """(keys, data) of the last member of a name; an error where an archive has none, or it can't be read."""
+    wanted = normalize_member(F.lit(name))
+    last = F.max_by(F.struct("data", "error"), F.when(F.col("filename") == wanted, F.col("ordinal")))
+    return _read_or_raise(members.groupBy(*keys).agg(last.alias("__m")), keys, F.concat(F.lit("no such member: "), wanted))
+
+
+def read_by_index(members: DataFrame, index: int, keys: list[str]) -> DataFrame:
+    """(keys, data) of the member at a place; an error where an archive ends before it, or it can't be read."""
+    at = F.max_by(F.struct("data", "error"), F.when(F.col("ordinal") == index, F.col("ordinal")))
+    return _read_or_raise(members.groupBy(*keys).agg(at.alias("__m")), keys, F.lit(f"no member at {index}"))
+
+
+def _read_or_raise(found: DataFrame, keys: list[str], missing: Column) -> DataFrame:
+    problem = F.when(F.col("__m").isNull(), missing).otherwise(F.col("__m.error"))
+    return found.select(*keys, F.when(problem.isNotNull(), F.raise_error(problem).cast("binary")).otherwise(F.col("__m.data")).alias("data"))
+
+
+def info(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """The catalog as an info record: filename, file_size, compress_size, CRC, compress_type, date_time, is_dir, comment."""
+    return entries.select(*keys, "filename", "file_size", "compress_size", F.col("crc").alias("CRC"), "compress_type", date_time(F.col("mtime")).alias("date_time"), "is_dir", "comment")
+
+
+def short_info(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """The catalog under the names that browsers are given."""
+    return entries.select(*keys, F.col("filename").alias("name"), F.col("file_size").alias("size"), F.col("compress_size").alias("compressedSize"), F.col("crc").alias("crc32"), F.col("compress_type").alias("method"), F.col("is_dir").alias("isDir"))
+
+
 def names(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Names in archive order, repeated ones included."""
     return entries.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "filename"))), lambda e: e["filename"]).alias("names"))
@@ -78,7 +111,7 @@ def test_archives(members: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def checked_members(rows: DataFrame) -> DataFrame:
-    """Rows to archive (filename, data; optional ordinal, compress_type, mtime, comment, is_dir) with names normalised."""
+    """Rows to archive (filename, data; optional compress_type, compress_level, mtime, comment, is_dir) with names normalised."""
     name = normalize_member(F.col("filename"))
     if "is_dir" in rows.columns:
         name = F.when(F.col("is_dir") & ~name.endswith("/"), F.concat(name, F.lit("/"))).otherwise(name)
@@ -89,8 +122,12 @@ def checked_members(rows: DataFrame) -> DataFrame:
 
 
 def zip_build(rows: DataFrame, keys: list[str], opts: Options = Options(), comment: Column | None = None) -> DataFrame:
-    """(keys, content, members): an archive for each key of rows (ordinal, filename, data, ...). At most 2 GiB each."""
-    packed = checked_members(rows).withColumn("__p", C.zip_pack("data", "filename", "compress_type", opts)).withColumn("__raw", F.octet_length("data").cast("long")).drop("data")
+    """(keys, content, members): an archive for each key of rows (ordinal, filename, data, ...). At most 2 GiB each.
+
+    A member's own compress_type and compress_level go before the options.
+    """
+    level = F.col("compress_level").cast("int") if "compress_level" in rows.columns else F.lit(None).cast("int")
+    packed = checked_members(rows).withColumn("__p", C.zip_pack("data", "filename", "compress_type", level, opts)).withColumn("__raw", F.octet_length("data").cast("long")).drop("data")
     size = F.octet_length("__p.stored").cast("long")
     local = C.arrow_function("binary", A.local_header, "filename", "__p.method", "mtime", "__p.crc", size, "__raw")
     packed = packed.withColumn("__size", size).withColumn("__local", local)

@@ -368,6 +368,37 @@ def zip_lookup(spark, sf_dir):
     return found.select("conv_id", "filename", "file_size")
 
 
+@query("SELECT conv_id, max(turn) >= 2 AS found FROM conversations GROUP BY conv_id")
+def zip_contains(spark, sf_dir):
+    """Whether each conversation's archive has a third turn."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.col("turn").cast("string").alias("filename"), utf8("text").alias("data"))
+    return Z.contains(Z.zip_entries(Z.zip_build(rows, ["conv_id"]), ["conv_id"]), "/2", ["conv_id"])
+
+
+@query("SELECT conv_id, arg_min(text, turn) AS by_index, arg_max(text, turn) AS by_name FROM conversations GROUP BY conv_id")
+def zip_read(spark, sf_dir):
+    """The first member by its place, and the last of those that share a name."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.lit("turn").alias("filename"), utf8("text").alias("data"), (F.col("turn") % 10).alias("compress_level"))
+    members = Z.zip_members(Z.zip_build(rows, ["conv_id"]), ["conv_id"])
+    first = Z.read_by_index(members, 0, ["conv_id"]).select("conv_id", text(F.col("data")).alias("by_index"))
+    return first.join(Z.read_by_name(members, "turn", ["conv_id"]).select("conv_id", text(F.col("data")).alias("by_name")), "conv_id")
+
+
+@query(f"SELECT conv_id, turn || '.txt' AS name, octet_length(encode(text))::BIGINT AS size, {sql_crc('text')}::BIGINT AS crc32, false AS \"isDir\", 1980 AS year FROM conversations")
+def zip_info(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.concat("turn", F.lit(".txt")).alias("filename"), utf8("text").alias("data"))
+    entries = Z.zip_entries(Z.zip_build(rows, ["conv_id"]), ["conv_id"])
+    dates = Z.info(entries, ["conv_id"]).select("conv_id", F.col("filename").alias("name"), F.col("date_time.year").alias("year"))
+    return Z.short_info(entries, ["conv_id"]).select("conv_id", "name", "size", "crc32", "isDir").join(dates, ["conv_id", "name"])
+
+
+@query("SELECT n_nationkey, left(repeat(n_name || ' ', 50), 333) AS text FROM nation")
+def corpus_roundtrip(spark, sf_dir):
+    """Names repeated to a size, as a corpus for measurements is, compressed and decoded."""
+    content = F.substring(F.repeat(F.concat("n_name", F.lit(" ")), 50).cast("binary"), 1, 333)
+    return read(spark, sf_dir, "nation").select("n_nationkey", text(C.inflate_auto(C.gzip_compress(content))).alias("text"))
+
+
 @query("SELECT conv_id, array_to_string(list('turns/' || turn || '-' || role || '.txt' ORDER BY turn), ',') AS names FROM conversations GROUP BY conv_id")
 def zip_names(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.concat(F.lit("turns\\"), "turn", F.lit("-"), "role", F.lit(".txt")).alias("filename"), utf8("text").alias("data"))

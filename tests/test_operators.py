@@ -110,6 +110,32 @@ def test_archives(archives):
     assert {bytes(r.comment) for r in Z.archive_comments(archives, ["archive"]).collect()} == {b"said"}
 
 
+def test_reading_members(spark, archives):
+    members = Z.zip_members(archives, ["archive"])
+    x = members.where("archive = 'x'")
+    assert bytes(Z.read_by_name(x, "in/same", ["archive"]).first().data) == b"22" and bytes(Z.read_by_index(x, 0, ["archive"]).first().data) == TEXT
+    for call in (lambda: Z.read_by_name(x, "none", ["archive"]), lambda: Z.read_by_index(x, 9, ["archive"])):
+        with pytest.raises(Exception, match="no such member|no member at"):
+            call().collect()
+    entries = Z.zip_entries(archives, ["archive"])
+    assert {r.archive: r.found for r in Z.contains(entries, "\\noise", ["archive"]).collect()} == {"x": False, "y": True}
+    assert Z.info(entries, ["archive"]).columns[-1] == "comment" and Z.short_info(entries, ["archive"]).columns[1:] == ["name", "size", "compressedSize", "crc32", "method", "isDir"]
+
+
+def test_member_levels(spark):
+    d = spark.createDataFrame([("a", k, f"{k}", bytearray(TEXT), k) for k in (0, 1, 9)], "archive string, ordinal int, filename string, data binary, compress_level int")
+    size = {r.filename: r.compress_size for r in Z.zip_entries(Z.zip_build(d, ["archive"]), ["archive"]).collect()}
+    assert size["9"] < size["1"] < size["0"] == len(TEXT)
+
+
+def test_corpora(spark):
+    from bytelode.sources.corpus import random_bytes, repeated_text
+
+    assert [bytes(r.content) for r in repeated_text(spark, "abé", 10, 2).collect()] == ["abé".encode() * 2 + b"ab"] * 2
+    rows = [bytes(r.content) for r in random_bytes(spark, 10_001, 2).collect()]
+    assert [len(r) for r in rows] == [10_001] * 2 and rows[0] != rows[1] and len(zlib.compress(rows[0])) > 10_000
+
+
 def test_broken_archives(archives):
     bad = archives.where("archive = 'y'").select("archive", F.concat(F.substring("content", 1, 100), F.lit(b"!"), F.expr("substring(content, 102)")).alias("content"))
     members = Z.zip_members(bad, ["archive"])
