@@ -588,3 +588,42 @@ def rel_event_batches(spark, sf_dir):
     """Tumbling batches of events, compressed and decoded again."""
     d = read(spark, sf_dir, "events").withColumn("p", C.inflate_auto(C.gzip_compress(F.encode(F.coalesce("props", F.lit("")), "UTF-8"))))
     return d.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum(F.octet_length("p").cast("long")).alias("bytes")).select("event_type", F.col("w.start").alias("hour"), "n", "bytes")
+
+
+def nation_stream(spark, sf_dir) -> DataFrame:
+    """The small table as a stream; a stream's path is a folder, and the option picks the file in it."""
+    schema = spark.read.parquet(f"{sf_dir}/nation.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "nation.parquet").parquet(sf_dir)
+
+
+@query("SELECT n_nationkey, n_name, true AS ok FROM nation")
+def stream_roundtrip(spark, sf_dir):
+    """The small table ``nation`` as a stream, compressed and decoded on the way to a table in memory."""
+    import uuid
+
+    from ..streaming.blobs import compress_stream, decompress_stream
+
+    rows = nation_stream(spark, sf_dir)
+    packed = compress_stream(rows.select("n_nationkey", utf8("n_name").alias("content")))
+    name = f"stream_{uuid.uuid4().hex}"
+    running = decompress_stream(packed).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name).select("n_nationkey", text(F.col("data")).alias("n_name"), F.col("error").isNull().alias("ok"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def chunk_stream_roundtrip(spark, sf_dir):
+    """Streams that arrive in chunks, put together with state: each nation's name in three pieces."""
+    import uuid
+
+    from ..streaming.blobs import inflate_chunks
+
+    rows = nation_stream(spark, sf_dir)
+    packed = rows.select(F.col("n_nationkey").alias("stream_id"), C.gzip_compress(utf8("n_name")).alias("z"))
+    at = lambda k: F.floor(F.octet_length("z") * k / 3).cast("int")
+    pieces = F.array(*(F.struct(F.lit(k).alias("seq"), F.lit(k == 2).alias("is_last"), F.col("z").substr(at(k) + 1, at(k + 1) - at(k)).alias("chunk")) for k in (2, 0, 1)))
+    chunks = packed.select("stream_id", F.inline(pieces))
+    name = f"chunks_{uuid.uuid4().hex}"
+    running = inflate_chunks(chunks).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name).select(F.col("stream_id").alias("n_nationkey"), text(F.col("data")).alias("n_name"))
