@@ -45,7 +45,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read again: its lineage ends there."""
     path = scratch(df.sparkSession, name)
     write_once(df, path, **options)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes tables that ``written`` made, when all that reads them has been written itself."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tuned(spark: SparkSession) -> SparkSession:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import forget, written
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = written(large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "large-star")
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        pairs = written(small, "small-star")
+        old, pairs = pairs, written(small, "small-star")
+        forget(old, least, large, low)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import scratch, table, tuned, write_once, written
+from ._shared import forget, scratch, table, tuned, write_once, written
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -134,6 +134,7 @@ def op9_token_counts(spark, sf_dir: str) -> DataFrame:
     revised = changes(poor, "revise", "words-1", "plain", "words")
     for name, rows in (("words", first), ("letters", second), ("toxic", deletes), ("words", first), ("poor", revised), ("toxic", deletes)):
         rollup.commit(name, rows)
+    forget(counted)
     return rollup.totals()
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import column, grouped
-from ._shared import table, tuned, written
+from ._shared import forget, table, tuned, written
 from ._text import Ranges, grams, i64, mix, odd_constants, plain_words, slices
 from .components import connected_components
 
@@ -149,9 +149,11 @@ def clusters(nodes: DataFrame, similarity: float, runs: int, limit: int) -> Data
     rows = nodes.select(F.explode("roots").alias("bucket"), "id", F.lit(None).cast("long").alias("parent"))
     found: list[DataFrame] = []
     small: list[DataFrame] = []
+    held: list[DataFrame] = []
     for level in range(1, LEVELS + 2):
         sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.max("parent").alias("parent"), F.min("id").alias("first")).where("size > 1"), "buckets")
         met = written(rows.drop("parent").join(sizes, "bucket"), "bucketed")
+        held += [sizes, met]
         small.append(met.where(F.col("size") <= limit).select("bucket", "id"))
         large = met.where(F.col("size") > limit)
         if sizes.where(F.col("size") > limit).isEmpty():
@@ -167,6 +169,8 @@ def clusters(nodes: DataFrame, similarity: float, runs: int, limit: int) -> Data
     edges = alike_in_bucket(leaves.join(nodes.select("id", "minhash"), "id"), similarity)
     for x in found:
         edges = edges.unionByName(x)
+    edges = written(edges, "similar")
+    forget(*held)
     return connected_components(edges)
 
 
@@ -247,19 +251,21 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     class_id: the smallest id that the document is linked to, directly or not. n_links: the other documents of at least
     the similarity, exact copies included. n_copies: the documents with its very set, itself included.
     """
-    spark = tuned(docs.sparkSession)
-    del spark
+    tuned(docs.sparkSession)
     runs = runs_for(similarity, recall)
     marked = written(signatures(docs, id_col, text_col, shingle, runs), "signatures")
     nodes = written(marked.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("minhash").alias("minhash"), F.first("roots").alias("roots"), F.count("*").alias("copies")), "nodes")
-    found = written(clusters(nodes, similarity, runs, limit), "clusters")
+    found = clusters(nodes, similarity, runs, limit)
     sizes = written(found.groupBy("label").agg(F.count("*").alias("size")), "cluster-sizes")
     members = written(found.join(sizes, "label").join(nodes.groupBy("id").agg(F.sum("copies").alias("copies")), "id"), "members")
+    forget(sizes)
     links = written(compared(docs, members, id_col, text_col, shingle, similarity, block), "links")
+    forget(members)
     classes = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("id").agg(F.sum("links").alias("links"))
     graph = nodes.select("f1", "f2", "n", "id", "copies").join(classes, "id", "left").join(linked, "id", "left")
     graph = written(graph.select("f1", "f2", "n", F.coalesce("label", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies")), "graph")
+    forget(nodes, links)
     rows = marked.select("id", "f1", "f2", "n").join(graph, ["f1", "f2", "n"]).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
     has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
     alone = docs.where(F.col(id_col).isNull() | ~has_words).select(id_col, F.col(id_col).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))

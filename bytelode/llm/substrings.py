@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import add_columns, column
-from ._shared import table, tuned, written
+from ._shared import forget, table, tuned, written
 from ._text import Ranges, Words, flat, grams, i64, slices, spans_to_mask
 
 WINDOW, ANCHOR = 20, 8
@@ -97,7 +97,7 @@ def open_edges(docs: DataFrame, pieces: DataFrame, id_col: str, text_col: str, w
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Spans of words (id, start, end) that equal words starting earlier."""
+    """(id, spans): of each document that has any, the spans of words (start, end) that equal words starting earlier."""
     place = F.struct("id", "at")
     pieces = path_pieces(docs, id_col, text_col, window, anchor)
     keys = pieces.groupBy("minimizer").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
@@ -108,16 +108,17 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = copies.select("id", F.col("at").alias("start"), (F.col("at") + F.col("edges") + (window - 1)).alias("end"))
     edges = written(open_edges(docs, first.where("branches").select("first.*"), id_col, text_col, window), "edges")
     first_edge = edges.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    single = edges.join(written(first_edge, "first-edges"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    return whole.unionByName(single)
+    first_edge = written(first_edge, "first-edges")
+    single = edges.join(first_edge, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
+    spans = written(whole.unionByName(single).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    forget(repeated, met, first, edges, first_edge)
+    return spans
 
 
 def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with ``n_words``, ``removed_spans`` (merged, half-open, in words) and ``kept_text``, the words left joined by one space."""
     tuned(docs.sparkSession)
-    spans = later_copies(docs, id_col, text_col, window, anchor)
-    by_row = spans.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
-    by_row = written(by_row, "spans")
+    by_row = later_copies(docs, id_col, text_col, window, anchor).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
     joined = docs.join(by_row, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
 
     def make():

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from ._arrow import column, texts_of
-from ._shared import scratch, table, tuned, write_once, written
+from ._shared import forget, scratch, table, tuned, write_once, written
 from ._text import slices
 
 LIMIT, STRIDE, BLOCK_TOKENS = 16, 256, 1 << 18
@@ -273,6 +273,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     span = max(1, -(-seen // files))
     blocks = blocks.repartitionById(files, F.least(F.floor(F.col("first") / span), F.lit(files - 1)).cast("int")).sortWithinPartitions("first")
     write_once(blocks, f"{path}/blocks", compression="uncompressed")
+    forget(tokens)
 
 
 def read_tokens(spark, path: str, ids: bool = True) -> DataFrame:
