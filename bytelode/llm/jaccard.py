@@ -162,7 +162,9 @@ def clusters(nodes: DataFrame, similarity: float, runs: int, limit: int) -> Data
         found.append(large.where(alike).select(F.col("id").alias("a"), F.col("first").alias("b")))
         if level > LEVELS:
             break
-        rows = split(large.where(~alike).join(nodes.select("id", "minhash"), "id"), level, runs)
+        # written, as both the sizes and the join with them read it
+        rows = written(split(large.where(~alike).join(nodes.select("id", "minhash"), "id"), level, runs), "parts")
+        held.append(rows)
     leaves = small[0]
     for x in small[1:]:
         leaves = leaves.unionByName(x)
