@@ -39,7 +39,7 @@ LEVEL, LEVELS = 7, 8
 LIMIT, BLOCK = 128, 128
 #: A part that keeps this share of its bucket is taken for alike.
 ALIKE = 0.7
-COLUMNS_AT_ONCE = 8192
+COLUMNS_AT_ONCE, ITEMS_AT_ONCE = 8192, 1 << 20
 
 
 def runs_for(similarity: float, recall: float) -> int:
@@ -223,20 +223,35 @@ def compared(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, sh
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of the items' incidence, some columns at a time."""
-    n = len(sets)
-    if n == 2:
+    """Sizes of the intersections of sorted sets; what is on the diagonal means nothing.
+
+    Ranges of hashes are taken one after the other, so that the room this takes doesn't grow with the sets.
+    """
+    if len(sets) == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
+        return np.array([[0, both], [both, 0]])
+    pieces = -(-sum(map(len, sets)) // ITEMS_AT_ONCE) or 1
+    bounds = np.arange(1, pieces, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // pieces)
+    cuts = [[0, *np.searchsorted(s, bounds), len(s)] for s in sets]
+    out = np.zeros((len(sets), len(sets)))
+    for k in range(pieces):
+        out += _shared_items([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)])
+    return np.rint(out).astype(np.int64)
+
+
+def _shared_items(sets: list[np.ndarray]) -> np.ndarray:
+    """The same by products of the items' incidence, some columns at a time."""
+    n = len(sets)
     items = np.concatenate(sets)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     order = np.argsort(items, kind="stable")
     items, row = items[order], row[order]
-    fresh = np.concatenate([[True], items[1:] != items[:-1]])
-    which = np.cumsum(fresh) - 1
+    out = np.zeros((n, n))
+    if not len(items):
+        return out
+    which = np.cumsum(np.concatenate([[True], items[1:] != items[:-1]])) - 1
     often = np.bincount(which)[which] > 1
     which, row = which[often], row[often]
-    out = np.zeros((n, n), np.float64)
     if len(which):
         which = np.cumsum(np.concatenate([[True], which[1:] != which[:-1]])) - 1
         for low in range(0, int(which[-1]) + 1, COLUMNS_AT_ONCE):
@@ -244,7 +259,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
             dense = np.zeros((n, min(COLUMNS_AT_ONCE, int(which[-1]) + 1 - low)), np.float32)
             dense[row[at], which[at] - low] = 1
             out += dense @ dense.T
-    return np.rint(out).astype(np.int64)
+    return out
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:

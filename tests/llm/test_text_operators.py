@@ -44,10 +44,13 @@ def test_jaccard_join(docs, joined):
     assert sum(root[i] != i for i in root) > 15
 
 
-def test_jaccard_overlaps_and_runs(spark):
+def test_jaccard_overlaps_and_runs(spark, monkeypatch):
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(9)]
     got = jaccard.overlaps(sets)
+    wide = [jaccard.mix(s) for s in sets]
+    monkeypatch.setattr(jaccard, "ITEMS_AT_ONCE", 100)
+    assert (jaccard.overlaps([np.sort(s) for s in wide]) == got)[~np.eye(9, dtype=bool)].all()
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
     assert jaccard.runs_for(0.8, 0.9999) <= jaccard.runs_for(0.8, 0.999999) and jaccard.runs_for(0.5, 0.99) > jaccard.runs_for(0.9, 0.99)
     empty = spark.createDataFrame([], "doc_id long, text string")
