@@ -40,6 +40,7 @@ def query(sql: str | None = None):
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # dates in archives have no zone; they are taken in UTC
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -583,11 +584,11 @@ def rel_member_offsets(spark, sf_dir):
     return d.select("source", "doc_id", F.coalesce(F.sum(F.octet_length("text").cast("long")).over(w), F.lit(0).cast("long")).alias("off"))
 
 
-@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*)::BIGINT AS n, sum(octet_length(encode(coalesce(props, ''))))::BIGINT AS bytes FROM events GROUP BY 1, 2")
+@query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*)::BIGINT AS n, sum(octet_length(encode(coalesce(props, ''))))::BIGINT AS bytes FROM events GROUP BY 1, 2")
 def rel_event_batches(spark, sf_dir):
     """Tumbling batches of events, compressed and decoded again."""
     d = read(spark, sf_dir, "events").withColumn("p", C.inflate_auto(C.gzip_compress(F.encode(F.coalesce("props", F.lit("")), "UTF-8"))))
-    return d.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum(F.octet_length("p").cast("long")).alias("bytes")).select("event_type", F.col("w.start").alias("hour"), "n", "bytes")
+    return d.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum(F.octet_length("p").cast("long")).alias("bytes")).select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "n", "bytes")
 
 
 def nation_stream(spark, sf_dir) -> DataFrame:
