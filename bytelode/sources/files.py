@@ -6,7 +6,7 @@ import glob
 import os
 import stat
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns, paths
@@ -41,15 +41,17 @@ def file_kinds(spark: SparkSession, names: list[str], recursive: bool = False) -
     return spark.createDataFrame(rows, "path string, kind string, mtime long, size long")
 
 
-def resolve(path: str) -> str:
-    """The name, or the name with the first known suffix under which a file exists."""
+def resolve(path: str, missing: bool = False) -> str:
+    """The name, or the name with the first known suffix under which a file exists; without one an error, or the name."""
     for name in (path, *(path + s for s in paths.ALL_SUFFIXES)):
         if os.path.lexists(name):
             return name
+    if missing:
+        return path
     raise CodecError(f"{path} does not exist")
 
 
-def compress_files(spark: SparkSession, names: list[str], opts: Options = Options(), recursive: bool = False, force: bool = False) -> DataFrame:
+def compress_files(spark: SparkSession, names: list[str], opts: Options = Options(), recursive: bool = False, force: bool = False, comment: Column | None = None) -> DataFrame:
     """(path, output, content, reason): compressed files, and those left alone with the reason. Nothing is deleted."""
     listed = file_kinds(spark, names, recursive).withColumn("reason", paths.skip_reason(F.col("kind"), F.col("path"), "compress", recursive, force))
     good = [r.path for r in listed.where("reason IS NULL AND kind != 'directory'").collect()]
@@ -57,7 +59,7 @@ def compress_files(spark: SparkSession, names: list[str], opts: Options = Option
     if not good:
         return rejected
     own = read_blobs(spark, good).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
-    done = own.select("path", F.concat("path", F.lit(opts.suffix)).alias("output"), columns.compress("content", opts, paths.basename(F.col("path")), None, F.unix_timestamp("modificationTime")).alias("content"), F.lit(None).cast("string").alias("reason"))
+    done = own.select("path", F.concat("path", F.lit(opts.suffix)).alias("output"), columns.compress("content", opts, paths.basename(F.col("path")), comment, F.unix_timestamp("modificationTime")).alias("content"), F.lit(None).cast("string").alias("reason"))
     return done.unionByName(rejected)
 
 

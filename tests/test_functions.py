@@ -136,13 +136,25 @@ def test_options():
     for bad in ({"level": 10}, {"level": 12}, {"level": -2}, {"strategy": "best"}, {"engine": "gpu"}, {"format": "bz2"}, {"block_size": 1000}, {"threads": -1}):
         with pytest.raises(CodecError):
             Options(**bad)
-    assert Options.named("best", "independent", engine="isal").engine_used == "zlib" and Options.named("fast").level == 1
-    with pytest.raises(CodecError):
-        Options.named("fastest")
+    assert Options(engine="isal").engine_used == "zlib"
     assert [fast_level(k) for k in (0, 1, 3, 9)] == [0, 1, 2, 3]
     assert adaptive_block(1 << 30, 8) == 2 << 20 and adaptive_block(1 << 20, 8) == 131_072 and thread_cap(1 << 20, 131_072, 8) == 4
 
 
+def test_flags():
+    from bytelode.functions.flags import parse
+
+    opts, command = parse(["-9", "-ib", "128", "--no-name", "-C", "said", "a", "--", "-b"])
+    assert (opts.level, opts.independent, opts.block_size, opts.store_name, opts.format) == (9, True, 131_072, False, "gzip")
+    assert (command.mode, command.comment, command.paths) == ("compress", "said", ["a", "-b"])
+    assert parse(["-11"])[0].level == 11 and parse(["--best"])[0].level == 9 and parse(["-z"])[0].format == "zlib" and parse(["-K"])[0].format == "zip"
+    assert parse(["-dk"])[1].mode == "decompress" and parse(["--list", "x"])[1].mode == "list" and parse(["-t"])[1].mode == "test"
+    assert parse(["-H"])[0].strategy == "huffman" and parse(["--engine", "isal", "-p", "4"])[0].threads == 4 and parse(["-z"])[0].suffix == ".zz"
+    for bad in (["-10"], ["-12"], ["-b", "16"], ["-p", "0"], ["-E", "gpu"], ["--bogus"], ["-b"], ["-b", "x"]):
+        with pytest.raises(CodecError):
+            parse(bad)
+
+
 MEMBERS = [("a.txt", b"hello " * 99, 8), ("b/c.txt", b"x", 8), ("empty.txt", b"", 8), ("subdir/", b"", 8), ("big.bin", RANDOM[:50_000], 8), ("stored", b"aaaa" * 99, 0)]
 
 

@@ -73,6 +73,22 @@ def test_compressed_files(spark, tmp_path):
     assert [r.value for r in files.read_zlib_lines(spark, str(tmp_path / "r.zz")).orderBy("pos").collect()] == ["1", "2"]
 
 
+def test_commands(spark, tmp_path):
+    from bytelode.sources.commands import execute
+
+    (tmp_path / "a.txt").write_bytes(b"A" * 5000)
+    path = str(tmp_path / "a.txt")
+    packed = execute(spark, ["-9", "-C", "said", path]).first()
+    assert gzip.decompress(bytes(packed.content)) == b"A" * 5000
+    (tmp_path / "a.txt.gz").write_bytes(bytes(packed.content))
+    (tmp_path / "bad.gz").write_bytes(bytes(packed.content)[:-2])
+    listed = execute(spark, ["-l", path + ".gz"]).first()
+    assert (listed.name, listed.comment, listed.raw_len) == ("a.txt", "said", 5000)
+    both = {os.path.basename(r.path): (r.output and os.path.basename(r.output), r.data and len(r.data), r.reason) for r in execute(spark, ["-d", path + ".gz", str(tmp_path / "bad.gz"), str(tmp_path / "none")]).collect()}
+    assert both == {"a.txt.gz": ("a.txt", 5000, None), "bad.gz": ("bad", None, "the trailer is missing"), "none": (None, None, "does not exist")}
+    assert {os.path.basename(r.path): r.ok for r in execute(spark, ["-t", path + ".gz", str(tmp_path / "bad")]).collect()} == {"a.txt.gz": True, "bad.gz": False}
+
+
 def test_text_files(spark, tmp_path):
     lines = [f"line {i}" for i in range(100)] + ["A" * 70_000]
     d = spark.createDataFrame([(x,) for x in lines], "value string")
