@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once. Texts can be long; the kernels slice further by bytes.
 BATCH_ROWS = 1000
+#: And their bytes: the JVM and the worker each hold a batch or more outside of the heap.
+BATCH_BYTES = 4 << 20
 #: Spark drops the shuffle files of a query when it ends; intermediate tables are written once and then read.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -61,6 +63,7 @@ def forget(*frames: DataFrame) -> None:
 def tuned(spark: SparkSession) -> SparkSession:
     """Arrow batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared_dir(spark)
     return spark
 
