@@ -43,8 +43,12 @@ def write_once(df: DataFrame, path: str, **options: str) -> None:
         spark.conf.set(CLEANUP, was) if was else spark.conf.unset(CLEANUP)
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The frame, written as Parquet to the shared folder and read again: its lineage ends there."""
+def written(df: DataFrame, name: str, compact: bool = False, **options: str) -> DataFrame:
+    """The frame, written as Parquet to the shared folder and read again: its lineage ends there.
+
+    compact: a table much smaller than what it is made from is dealt anew, so that it has few files.
+    """
+    df = df.hint("rebalance") if compact else df
     path = scratch(df.sparkSession, name)
     write_once(df, path, **options)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

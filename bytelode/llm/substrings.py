@@ -101,16 +101,16 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.struct("id", "at")
     pieces = path_pieces(docs, id_col, text_col, window, anchor)
     keys = pieces.groupBy("minimizer").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
-    repeated = written(keys.where("n > 1").select("minimizer", (F.col("low") != F.col("high")).alias("branches")), "minimizers")
+    repeated = written(keys.where("n > 1").select("minimizer", (F.col("low") != F.col("high")).alias("branches")), "minimizers", compact=True)
     met = written(pieces.join(repeated, "minimizer"), "pieces")
-    first = written(met.groupBy("minimizer", "h", "branches").agg(F.min(F.struct("id", "at", "edges")).alias("first"), F.count("*").alias("n")), "paths")
+    first = written(met.groupBy("minimizer", "h", "branches").agg(F.min(F.struct("id", "at", "edges")).alias("first"), F.count("*").alias("n")), "paths", compact=True)
     copies = met.join(first.where("n > 1").select("minimizer", "h", "first"), ["minimizer", "h"]).where(~(F.struct(F.col("id"), F.col("at")).eqNullSafe(F.struct(F.col("first.id"), F.col("first.at")))))
     whole = copies.select("id", F.col("at").alias("start"), (F.col("at") + F.col("edges") + (window - 1)).alias("end"))
-    edges = written(open_edges(docs, first.where("branches").select("first.*"), id_col, text_col, window), "edges")
+    edges = written(open_edges(docs, first.where("branches").select("first.*"), id_col, text_col, window), "edges", compact=True)
     first_edge = edges.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    first_edge = written(first_edge, "first-edges")
+    first_edge = written(first_edge, "first-edges", compact=True)
     single = edges.join(first_edge, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    spans = written(whole.unionByName(single).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    spans = written(whole.unionByName(single).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans", compact=True)
     forget(repeated, met, first, edges, first_edge)
     return spans
 
