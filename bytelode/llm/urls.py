@@ -3,7 +3,8 @@
 Built from DataFrame and SQL functions only. Hosts are the nodes, links between different hosts the edges, weighted by
 their number. Trust is a personalised PageRank from hosts that an allow rule names; distrust is one over reversed
 edges from hosts that a block rule covers whole. Every seed starts with 1, so that the scores of a host don't shrink
-as the graph grows. A host is blocked when its distrust is at least ``threshold`` and exceeds its trust.
+as the graph grows. Rounds go on until all that is still to come is at most ``CHANGE`` in sum. A host is blocked when
+its distrust is at least ``threshold`` and exceeds its trust.
 
 A null url, or one without "://", has an empty host and path: no rule fits, and it is allowed. Null html has no
 links. Repeated rows each get a row. Rules are a short list (``MAX_RULES``): they are part of the plan.
@@ -14,12 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table, tuned, written
+from ._shared import forget, table, tuned, written
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MAX_RULES = 200
-DAMPING, ROUNDS, CHANGE, THRESHOLD = 0.85, 10, 1e-9, 0.01
+DAMPING, CHANGE, THRESHOLD = 0.85, 1e-9, 0.01
+#: Of the SQL only, which can't stop by a bound; the query goes on until scores are settled.
+ROUNDS = 10
+#: Rounds in one plan, between two looks at what still moves.
+ROUNDS_AT_ONCE = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^"'\s>]*)"""
 
@@ -52,21 +57,31 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return links.select("src", host_of(F.col("link")).alias("dst")).where("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, change: float) -> DataFrame:
-    """(host, score): personalised PageRank of seeds (host) along edges (src, dst, share)."""
-    start = seeds.select("host", F.lit(1 - damping).alias("score"))
-    scores = written(start, "rank")
-    for _ in range(rounds):
-        moved = edges.join(scores, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
-        new = written(start.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score")), "rank")
-        gap = new.withColumnRenamed("score", "new").join(scores, "host", "full").agg(F.max(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))).first()[0]
-        scores = new
-        if (gap or 0.0) <= change:
-            break
-    return scores
-
-
-def host_scores(pages: DataFrame, rules, url_col: str, html_col: str, damping: float, rounds: int, change: float) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, change: float) -> DataFrame:
+    """(host, score): personalised PageRank of seeds (host) along edges (src, dst, share).
+
+    A round moves ``damping`` of what the round before moved, or less where links end. So all rounds to come add no more
+    than a sum of that series, to all hosts together; the last round is the one that leaves ``change`` at most.
+    """
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be from 0 to below 1")
+    scores = written(seeds.select("host", F.lit(1 - damping).alias("score"), F.lit(1 - damping).alias("moving")), "rank")
+    # a host's own row keeps its score, its links pass on what moved last
+    nodes = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(seeds.select("host")).distinct()
+    own = nodes.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(None).cast("double").alias("share"))
+    steps = written(edges.select("src", "dst", "share").unionByName(own), "rank-steps")
+    moved = F.coalesce(F.col("moving") * F.col("share") * damping, F.lit(0.0))
+    while (scores.agg(F.sum("moving")).first()[0] or 0.0) * damping > change * (1 - damping):
+        before = scores
+        for _ in range(ROUNDS_AT_ONCE):
+            scores = steps.join(scores, F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.when(F.col("share").isNull(), F.col("score")).otherwise(moved)).alias("score"), F.sum(moved).alias("moving")).withColumnRenamed("dst", "host")
+        scores = written(scores, "rank")
+        forget(before)
+    forget(steps)
+    return scores.where("score > 0").drop("moving")
+
+
+def host_scores(pages: DataFrame, rules, url_col: str, html_col: str, damping: float, change: float) -> DataFrame:
     """(host, trust, distrust) of hosts with either."""
     edges = written(host_edges(pages, url_col, html_col), "host-edges")
     hosts = pages.select(host_of(F.col(url_col)).alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).where("host != ''").distinct()
@@ -79,15 +94,15 @@ def host_scores(pages: DataFrame, rules, url_col: str, html_col: str, damping: f
     into = edges.groupBy("dst").agg(F.sum("weight").alias("total"))
     forward = written(edges.join(written(out, "totals"), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
     back = written(edges.join(written(into, "totals"), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("total")).alias("share")), "shares")
-    trust = propagate(forward, good, damping, rounds, change).withColumnRenamed("score", "trust")
-    distrust = propagate(back, bad, damping, rounds, change).withColumnRenamed("score", "distrust")
+    trust = propagate(forward, good, damping, change).withColumnRenamed("score", "trust")
+    distrust = propagate(back, bad, damping, change).withColumnRenamed("score", "distrust")
     return trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html", damping: float = DAMPING, rounds: int = ROUNDS, change: float = CHANGE, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", html_col: str = "html", damping: float = DAMPING, change: float = CHANGE, threshold: float = THRESHOLD) -> DataFrame:
     """``pages`` without html, with ``host``, ``path``, ``rule`` and ``verdict``. Input columns of these names give way."""
     tuned(pages.sparkSession)
-    scores = host_scores(pages, rules, url_col, html_col, damping, rounds, change)
+    scores = host_scores(pages, rules, url_col, html_col, damping, change)
     blocked = written(scores.where((F.round("distrust", 9) >= threshold) & (F.round("distrust", 9) > F.round("trust", 9))).select(F.col("host").alias("bad_host")), "blocked-hosts")
     gone = {html_col.lower(), "host", "path", "rule", "verdict", "bad_host"}
     own = pages.select(*(c for c in pages.columns if c.lower() not in gone), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -102,7 +117,7 @@ def op8_url_filters(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in SQL, with as many rounds."""
+    """The same in SQL, but with ``ROUNDS`` rounds: verdicts may differ where links make longer paths or cycles."""
 
     def rank(name: str, src: str, dst: str, seeds: str) -> str:
         ctes = [f"{name}s AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, weight / sum(weight) OVER (PARTITION BY {src}) AS share FROM e)", f"{name}0 AS (SELECT host, {1 - DAMPING!r}::DOUBLE AS score FROM h WHERE {seeds})"]

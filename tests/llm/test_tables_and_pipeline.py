@@ -111,6 +111,17 @@ def test_url_filters(spark):
     assert urls.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_url_scores_settle_on_chains_and_cycles(spark):
+    chain = [f"c{k}.test" for k in range(18, 0, -1)] + ["bad.net"]
+    ring = ["f1.test", "f2.test"]
+    links = [*zip(chain, chain[1:]), ("f1.test", "f2.test"), ("f2.test", "f1.test"), ("f1.test", "worse.net"), *((f"x{k}.test", "worse.net") for k in range(37))]
+    rows = [(i, f"http://{a}/", f'<a href="http://{b}/">t</a>') for i, (a, b) in enumerate(links)]
+    want = rank({(b, a): 1 for a, b in links}, {"bad.net", "worse.net"}, urls.DAMPING, 1000)
+    verdicts = {r.host: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert verdicts == {a: "block" if want.get(a, 0) >= urls.THRESHOLD else "allow" for a, _ in links}
+    assert verdicts["c16.test"] == "block" != verdicts["c17.test"] and {verdicts[h] for h in ring} == {"block"} and verdicts["x0.test"] == "allow"
+
+
 CHANGES = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long, extra int"
 
 
