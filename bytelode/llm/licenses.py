@@ -3,9 +3,11 @@
 A paragraph is a line. One without any trigger word is no licence text by definition of the model. The others are
 scored by a multinomial logistic regression over their distinct word 1- to 3-grams; classes are licence families and
 "unknown". The model is trained on the templates below: whole, cut and disturbed sentences of a family, and sentences
-that only use the same words. Its scores are calibrated by a temperature fitted on held-out sentences; a paragraph
-whose best family has less than ``THRESHOLD`` is unknown, and so is one of whose bigrams less than ``CONFIRM`` occur in
-any one template of that family.
+that only use the same words. Its scores are calibrated by a temperature fitted on held-out sentences. A paragraph is
+scored whole and, if it is longer than ``WINDOW`` words, in overlapping windows too, so that a notice is found whatever
+surrounds it; it has every family that one of these pieces has. A piece whose best family has less than ``THRESHOLD``
+is unknown, and so is one that templates don't confirm: ``CONFIRM`` of a template's bigrams must occur in the piece, or
+``CONFIRM`` of the piece's bigrams in the templates of that family together, and function words alone confirm nothing.
 
 Training runs on the driver, on the templates only. Scoring uses DataFrame and SQL functions only: the weights are a
 table of at most ``MAX_FEATURES`` rows, which is broadcast.
@@ -26,6 +28,9 @@ from pyspark.sql import functions as F
 from ._shared import table, tuned
 
 MAX_FEATURES, THRESHOLD, CONFIRM = 4096, 0.7, 0.5
+#: Words in a window, and from one to the next: what has up to WINDOW - STEP + 1 words lies whole in a window, and what
+#: has more fills over half of one.
+WINDOW, STEP = 24, 12
 UNKNOWN = "unknown"
 WORD = r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*"
 TRIGGERS = ("licen", "copyright", "warrant", "permission", "redistribut", "public domain", "creative commons", "cc by", "cc-by", "cc0", "gpl", "copyleft")
@@ -39,12 +44,16 @@ TEMPLATES = {
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The Software is provided \"AS IS\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "Released under Apache 2.0.",
+        "Available under the terms of the Apache License 2.0.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "See the License for the specific language governing permissions and limitations under the License.",
     ],
@@ -54,11 +63,15 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License version 3 along with this program.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "See the GNU General Public License for more details.",
     ],
     "LGPL-3.0": [
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
         "You can redistribute this library and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "See the GNU Lesser General Public License for more details.",
     ],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
@@ -66,11 +79,14 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "This software is provided by the copyright holders and contributors \"AS IS\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Released under MPL 2.0.",
+        "Available under the terms of MPL 2.0.",
     ],
     "CC-BY-4.0": [
         "Licensed under CC BY 4.0.",
@@ -113,6 +129,8 @@ OTHER = [
     "The warranty covers parts and labour under normal use.",
 ]
 FAMILIES = (*TEMPLATES, UNKNOWN)
+#: Words that say nothing of licences. No template has ``CONFIRM`` of its bigrams of these alone.
+FUNCTION_WORDS = frozenset("a all an and any are as at be but by do for from have in is it no not of on or so that the this to with you".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -146,6 +164,15 @@ def examples(seed: int) -> tuple[list[list[str]], np.ndarray]:
     return texts, np.array(classes)
 
 
+def bigrams_of(sentence: str) -> set[str]:
+    return {g for g in ngrams_of(words_of(sentence)) if g.count(" ") == 1}
+
+
+def content_words() -> list[str]:
+    """Words of templates but for function words. A piece without any is not confirmed."""
+    return sorted({w for sentences in TEMPLATES.values() for s in sentences for w in words_of(s)} - FUNCTION_WORDS)
+
+
 class Model:
     """Weights (features by classes), biases and temperature."""
 
@@ -204,43 +231,73 @@ def ngrams_column(words: Column, sizes: tuple[int, ...]) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Paragraphs with a trigger word: (id_col, paragraph, text, family, chance, confirmed); numbers count lines from 0."""
-    spark = tuned(docs.sparkSession)
-    model = train()
+def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, paragraph, line, digest, triggered, words) of lines that can show a licence; repeated rows and lines once."""
     triggered = "(?i)" + "|".join(TRIGGERS)
     lines = docs.where(F.col(text_col).rlike(triggered)).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line")).where(F.col("line").rlike(triggered))
-    # repeated rows and lines are scored once
-    lines = lines.groupBy("id", "paragraph", "line").agg(F.count("*").alias("copies"))
-    lines = lines.withColumn("words", F.regexp_extract_all(F.lower("line"), F.lit(WORD), 0))
-    weights = spark.createDataFrame([(f, [float(v) for v in row]) for f, row in zip(model.features, model.weights, strict=True)], "feature string, weight array<double>")
-    grams = lines.select("id", "paragraph", "line", F.explode_outer(ngrams_column(F.col("words"), (1, 2, 3))).alias("feature"))
-    # at most MAX_FEATURES rows
-    scored = grams.join(F.broadcast(weights), "feature", "left").groupBy("id", "paragraph", "line").agg(*(F.sum(F.coalesce(F.col("weight")[c], F.lit(0.0))).alias(f"s{c}") for c in range(len(FAMILIES))))
+    lines = lines.groupBy("id", "paragraph", "line").agg(F.count("*").alias("copies")).drop("copies")
+    return lines.withColumns({"digest": F.sha2("line", 256), "triggered": F.col("line").rlike(triggered), "words": F.regexp_extract_all(F.lower("line"), F.lit(WORD), 0)})
+
+
+def classify(lines: DataFrame) -> DataFrame:
+    """(id, paragraph, digest, family, triggered, chance, confirmed): a row for each family of a line, or one of ``UNKNOWN``."""
+    spark, model = lines.sparkSession, train()
+    content = F.array(*map(F.lit, content_words()))
+    n = F.size("words")
+    windows = F.when(n > WINDOW, F.transform(F.sequence(F.lit(0), F.ceil((n - WINDOW) / STEP).cast("int")), lambda i: F.slice("words", i * STEP + 1, WINDOW))).otherwise(F.array().cast("array<array<string>>"))
+    pieces = lines.select("id", "paragraph", "digest", "triggered", F.posexplode(F.concat(F.array("words"), windows)).alias("piece", "words"))
+    key = ["id", "paragraph", "digest", "triggered", "piece", "content", "n_own"]
+    pieces = pieces.withColumns({"content": F.arrays_overlap("words", content), "n_own": F.size(ngrams_column(F.col("words"), (2,)))}).where("content OR piece = 0")
+    # all bigrams of templates, whether the model has them or not; at most MAX_FEATURES rows and these
+    bigrams = {g: k for k, g in enumerate(sorted({g for sentences in TEMPLATES.values() for t in sentences for g in bigrams_of(t)}))}
+    weight = dict(zip(model.features, model.weights.tolist(), strict=True))
+    weights = spark.createDataFrame([(g, weight.get(g), bigrams.get(g)) for g in sorted(weight.keys() | bigrams.keys())], "feature string, weight array<double>, bigram int")
+    grams = pieces.select(*key, F.explode_outer(ngrams_column(F.col("words"), (1, 2, 3))).alias("feature"))
+    sums = [F.sum(F.coalesce(F.col("weight")[c], F.lit(0.0))).alias(f"s{c}") for c in range(len(FAMILIES))]
+    scored = grams.join(F.broadcast(weights), "feature", "left").groupBy(*key).agg(*sums, F.collect_set("bigram").alias("own"))
     z = [F.round((F.col(f"s{c}") + float(model.bias[c])) / model.temperature, 6) for c in range(len(FAMILIES))]
     best = F.array_max(F.array(*(F.struct(v.alias("z"), F.lit(-c).alias("c")) for c, v in enumerate(z))))
     total = sum((F.exp(v - F.col("best.z")) for v in z[1:]), F.exp(z[0] - F.col("best.z")))
-    scored = scored.withColumn("best", best).withColumn("chance", F.round(1 / total, 6)).withColumn("words", F.regexp_extract_all(F.lower("line"), F.lit(WORD), 0)).withColumn("own", ngrams_column(F.col("words"), (2,)))
+    scored = scored.withColumn("best", best).withColumn("chance", F.round(1 / total, 6))
 
     def confirmed(sentences: list[str]) -> Column:
-        shares = []
-        for s in sentences:
-            w = words_of(s)
-            bigrams = sorted({" ".join(w[i : i + 2]) for i in range(len(w) - 1)})
-            shares.append(F.size(F.array_intersect("own", F.array(*map(F.lit, bigrams)))))
-        return F.greatest(*shares) / F.greatest(F.size("own"), F.lit(1)) if len(shares) > 1 else shares[0] / F.greatest(F.size("own"), F.lit(1))
+        """The larger of the best template's share in the piece and the piece's share in all templates."""
+        sets = [sorted(bigrams[g] for g in bigrams_of(t)) for t in sentences]
+        shared = lambda own: F.size(F.array_intersect("own", F.array(*map(F.lit, own))))
+        return F.greatest(shared(sorted({k for own in sets for k in own})) / F.greatest("n_own", F.lit(1)), *(shared(own) / len(own) for own in sets))
 
     share = F.lit(0.0)
     for c, family in enumerate(FAMILIES[:-1]):
-        share = F.when(F.col("best.c") == -c, confirmed(TEMPLATES[family])).otherwise(share)
+        share = F.when(F.col("content") & (F.col("best.c") == -c), confirmed(TEMPLATES[family])).otherwise(share)
     sure = (F.col("chance") >= THRESHOLD) & (F.col("share") >= CONFIRM) & (F.col("best.c") != -(len(FAMILIES) - 1))
     names = F.array(*map(F.lit, FAMILIES))
-    return scored.withColumn("share", F.round(share, 6)).select(F.col("id").alias(id_col), "paragraph", F.col("line").alias("text"), F.when(sure, F.element_at(names, 1 - F.col("best.c"))).otherwise(UNKNOWN).alias("family"), "chance", F.col("share").alias("confirmed"))
+    family = F.when(sure, F.element_at(names, 1 - F.col("best.c"))).otherwise(UNKNOWN)
+    scored = scored.withColumn("share", F.round(share, 6)).withColumn("family", family).where(f"family != '{UNKNOWN}' OR piece = 0")
+    # the whole paragraph stands for what is unknown, and gives way to families that windows show
+    kinds = scored.groupBy("id", "paragraph", "digest", "triggered", "family").agg(F.max(F.struct("chance", "share")).alias("most"))
+    kinds = kinds.groupBy("id", "paragraph", "digest", "triggered").agg(F.collect_list(F.struct("family", "most.chance", "most.share")).alias("all"))
+    known = F.filter("all", lambda x: x["family"] != UNKNOWN)
+    return kinds.select("id", "paragraph", "digest", "triggered", F.explode(F.when(F.size(known) > 0, known).otherwise(F.col("all"))).alias("x")).select("id", "paragraph", "digest", "triggered", "x.family", "x.chance", F.col("x.share").alias("confirmed"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Paragraphs with a trigger word: (id_col, paragraph, text, family, chance, confirmed); numbers count lines from 0.
+
+    A paragraph that shows several families has a row for each.
+    """
+    tuned(docs.sparkSession)
+    lines = paragraphs(docs, id_col, text_col)
+    found, own = classify(lines), lines.select(F.col("id").alias("own_id"), F.col("paragraph").alias("at"), F.col("digest").alias("own_digest"), "line")
+    joined = found.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("paragraph") == F.col("at")) & (F.col("digest") == F.col("own_digest")))
+    return joined.select(F.col("id").alias(id_col), "paragraph", F.col("line").alias("text"), "family", "chance", "confirmed")
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row of ``docs`` as (id_col, n_paragraphs, n_triggered, n_licensed, families): sorted names, comma-joined."""
-    found = scan(docs, id_col, text_col).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n_triggered"), F.count(F.when(F.col("family") != UNKNOWN, 1)).alias("n_licensed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))), ",").alias("families"))
+    tuned(docs.sparkSession)
+    licensed = F.col("family") != UNKNOWN
+    lines = classify(paragraphs(docs, id_col, text_col)).groupBy("id", "paragraph", "digest").agg(F.max(licensed).alias("licensed"), F.collect_list(F.when(licensed, F.col("family"))).alias("names"))
+    found = lines.groupBy("id").agg(F.count("*").alias("n_triggered"), F.count_if("licensed").alias("n_licensed"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), ",").alias("families"))
     n = F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     own = docs.select(F.col(id_col), n.alias("n_paragraphs"))
     return own.join(found, own[id_col].eqNullSafe(found["id"]), "left").select(id_col, "n_paragraphs", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_triggered", "n_licensed")), F.coalesce("families", F.lit("")).alias("families"))

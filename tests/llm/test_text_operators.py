@@ -240,3 +240,19 @@ def test_license_scores_in_spark_equal_the_model(spark):
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     p = licenses.train().chances(licenses.words_of(text))
     assert row.family == licenses.FAMILIES[int(p.argmax())] and abs(row.chance - p.max()) < 1e-4
+
+
+def test_license_notices_in_long_paragraphs(spark):
+    prose = "the old man and the river had no house in the town so that he could not see all of it from the hill where "
+    whole = {"Apache-2.0": licenses.TEMPLATES["Apache-2.0"][1:3] + licenses.TEMPLATES["Apache-2.0"][-2:], "MIT": licenses.TEMPLATES["MIT"][4:], "GPL-3.0": licenses.TEMPLATES["GPL-3.0"][3:7]}
+    texts = {1: (" ".join(whole["Apache-2.0"]), "Apache-2.0"), 2: (" ".join(whole["MIT"]), "MIT"), 3: ("The pictures were taken by the author in the summer. Licensed under CC BY 4.0.", "CC-BY-4.0"), 4: (prose * 20 + licenses.TEMPLATES["CC-BY-4.0"][0] + " " + prose * 20, "CC-BY-4.0")}
+    texts |= {5: (prose * 9 + " ".join(whole["MIT"]) + " " + prose * 9 + "Licensed under CC BY 4.0.", "CC-BY-4.0,MIT"), 6: (prose * 9 + licenses.OTHER[3] + " " + prose * 9, ""), 7: (" ".join(licenses.OTHER), ""), 8: (" ".join(whole["GPL-3.0"]), "GPL-3.0")}
+    texts |= {9: (licenses.TEMPLATES["MIT"][6].upper(), "MIT"), 10: (licenses.TEMPLATES["GPL-3.0"][5], "GPL-3.0")}
+    got = {r.doc_id: (r.n_triggered, r.n_licensed, r.families) for r in licenses.scan_documents(spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")).collect()}
+    assert got == {i: (1, int(bool(f)), f) for i, (_, f) in texts.items()}
+
+
+def test_no_template_is_confirmed_by_function_words():
+    for sentence in [s for own in licenses.TEMPLATES.values() for s in own]:
+        own = licenses.bigrams_of(sentence)
+        assert sum(set(g.split()) <= licenses.FUNCTION_WORDS for g in own) < licenses.CONFIRM * len(own)
