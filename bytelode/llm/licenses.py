@@ -1,6 +1,7 @@
 """License scans: a trained classifier of paragraphs, and templates that confirm what it says.
 
-A paragraph is a line. One without any trigger word is no licence text by definition of the model. The others are
+A paragraph is a line. All are classified, whether they have a trigger word or not; those without any word of a
+template but function words aren't scored, as templates can't confirm them. Paragraphs are
 scored by a multinomial logistic regression over their distinct word 1- to 3-grams; classes are licence families and
 "unknown". The model is trained on the templates below: whole, cut and disturbed sentences of a family, and sentences
 that only use the same words. Its scores are calibrated by a temperature fitted on held-out sentences. A paragraph is
@@ -232,11 +233,16 @@ def ngrams_column(words: Column, sizes: tuple[int, ...]) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, paragraph, line, digest, triggered, words) of lines that can show a licence; repeated rows and lines once."""
-    triggered = "(?i)" + "|".join(TRIGGERS)
-    lines = docs.where(F.col(text_col).rlike(triggered)).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line")).where(F.col("line").rlike(triggered))
+    """(id, paragraph, line, digest, triggered, words) of lines that can show a licence or have a trigger word; repeated
+    rows and lines once.
+
+    Lines without a content word are left out unscored: ``confirmed`` lets none of them through, whatever their score.
+    """
+    triggered = F.col("line").rlike("(?i)" + "|".join(TRIGGERS))
+    words = F.regexp_extract_all(F.lower("line"), F.lit(WORD), 0)
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line")).where(F.arrays_overlap(words, F.array(*map(F.lit, content_words()))) | triggered)
     lines = lines.groupBy("id", "paragraph", "line").agg(F.count("*").alias("copies")).drop("copies")
-    return lines.withColumns({"digest": F.sha2("line", 256), "triggered": F.col("line").rlike(triggered), "words": F.regexp_extract_all(F.lower("line"), F.lit(WORD), 0)})
+    return lines.withColumns({"digest": F.sha2("line", 256), "triggered": triggered, "words": words})
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -281,7 +287,7 @@ def classify(lines: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Paragraphs with a trigger word: (id_col, paragraph, text, family, chance, confirmed); numbers count lines from 0.
+    """Paragraphs with a trigger word or a licence: (id_col, paragraph, text, family, chance, confirmed); numbers count lines from 0.
 
     A paragraph that shows several families has a row for each.
     """
@@ -289,14 +295,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lines = paragraphs(docs, id_col, text_col)
     found, own = classify(lines), lines.select(F.col("id").alias("own_id"), F.col("paragraph").alias("at"), F.col("digest").alias("own_digest"), "line")
     joined = found.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("paragraph") == F.col("at")) & (F.col("digest") == F.col("own_digest")))
-    return joined.select(F.col("id").alias(id_col), "paragraph", F.col("line").alias("text"), "family", "chance", "confirmed")
+    return joined.where(f"triggered OR family != '{UNKNOWN}'").select(F.col("id").alias(id_col), "paragraph", F.col("line").alias("text"), "family", "chance", "confirmed")
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row of ``docs`` as (id_col, n_paragraphs, n_triggered, n_licensed, families): sorted names, comma-joined."""
+    """Each row of ``docs`` as (id_col, n_paragraphs, n_triggered, n_licensed, families): sorted names, comma-joined.
+
+    ``n_triggered`` counts paragraphs with a trigger word or a licence, ``n_licensed`` those with a licence.
+    """
     tuned(docs.sparkSession)
     licensed = F.col("family") != UNKNOWN
-    lines = classify(paragraphs(docs, id_col, text_col)).groupBy("id", "paragraph", "digest").agg(F.max(licensed).alias("licensed"), F.collect_list(F.when(licensed, F.col("family"))).alias("names"))
+    lines = classify(paragraphs(docs, id_col, text_col)).where(F.col("triggered") | licensed).groupBy("id", "paragraph", "digest").agg(F.max(licensed).alias("licensed"), F.collect_list(F.when(licensed, F.col("family"))).alias("names"))
     found = lines.groupBy("id").agg(F.count("*").alias("n_triggered"), F.count_if("licensed").alias("n_licensed"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), ",").alias("families"))
     n = F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     own = docs.select(F.col(id_col), n.alias("n_paragraphs"))

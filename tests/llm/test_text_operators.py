@@ -252,6 +252,14 @@ def test_license_notices_in_long_paragraphs(spark):
     assert got == {i: (1, int(bool(f)), f) for i, (_, f) in texts.items()}
 
 
+def test_licenses_without_trigger_words(spark):
+    texts = {1: ("in the Software without restriction, including without limitation the rights", "MIT"), 2: ("Released under Apache 2.0", "Apache-2.0"), 3: ("Available under the terms of MPL 2.0", "MPL-2.0"), 4: ("All rights reserved.", ""), 5: ("and of the, to this.", ""), 6: ("Some software for the river and its old town.", "")}
+    assert not any(t in x.lower() for x, _ in texts.values() for t in licenses.TRIGGERS)
+    frame = spark.createDataFrame([(i, f"{t}\nmore") for i, (t, _) in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_paragraphs, r.n_triggered, r.n_licensed, r.families) for r in licenses.scan_documents(frame).collect()}
+    assert got == {i: (2, int(bool(f)), int(bool(f)), f) for i, (_, f) in texts.items()}
+
+
 def test_no_template_is_confirmed_by_function_words():
     for sentence in [s for own in licenses.TEMPLATES.values() for s in own]:
         own = licenses.bigrams_of(sentence)
