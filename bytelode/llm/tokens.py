@@ -4,12 +4,13 @@ A folder holds two Parquet tables. ``code``: (id, length), the code word lengths
 canonical, in order of (length, id). ``blocks``: (first, n_tokens, documents, starts, bits, checkpoints), in ascending
 order of ``first``, the position of the block's first id in the corpus. A block holds whole documents, in ascending
 order of their ids, and can be decoded on its own; ``bits`` are code words from the most significant bit on, and
-``checkpoints`` the bit offsets of every ``STRIDE``-th id as little-endian unsigned 32-bit integers, so that its
-stretches decode side by side.
+``checkpoints`` the bit offsets of every ``STRIDE``-th id as little-endian unsigned 64-bit integers, so that its
+stretches decode side by side. A text of any length that a row holds is one document of one block.
 
-The lengths come from exact global counts by package-merge under ``LIMIT`` bits. Texts are encoded once; words
-between spaces, newlines and tabs, which no token spans, are encoded once and looked up after that, while a worker
-remembers them.
+The lengths come from exact global counts by package-merge under ``LIMIT`` bits. Texts are encoded once, by the
+tokenizers library. Where the tokenizer's file has the normaliser and pre-tokeniser of ``BY_WORDS``, no token spans a
+space, newline or tab, so words between them are encoded once and looked up after that, while a worker remembers them;
+with any other file whole texts go to the library.
 
 A null text is empty and has the end id only. Rows that share an id stand next to each other in order of text; a
 null id comes first. Other columns are left out.
@@ -17,6 +18,7 @@ null id comes first. Other columns are left out.
 
 from __future__ import annotations
 
+import json
 import string
 import zlib
 from functools import lru_cache
@@ -54,10 +56,32 @@ ALPHABET = [chr(b if b in _PRINTABLE else next(_OTHERS)) for b in range(256)]
 MARKS = string.punctuation
 
 
+#: The settings of a tokenizer that reads words one by one, in lower case, without white space.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def reads_words(t) -> bool:
+    """Whether a tokenizer has the settings of ``BY_WORDS``, and no added token with white space."""
+    own = json.loads(t.to_str())
+    return all(own[k] == v for k, v in BY_WORDS.items()) and not any(c.isspace() for x in own["added_tokens"] for c in x["content"])
+
+
 class WordEncoder(dict):
     """Ids of words, and so of texts, by the tokenizers library, as little-endian bytes of one width.
 
-    A word of Latin letters, with or without punctuation behind it, is one pre-token and perhaps a second. So the letters
+    A tokenizer that doesn't read words one by one gets whole texts. With one that does, a word of Latin letters, with or without punctuation behind it, is one pre-token and perhaps a second. So the letters
     go to the library's model as they are, lower-cased, and are remembered apart from the punctuation. Whatever else
     stands between spaces goes through the whole library.
     """
@@ -66,6 +90,7 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer = tokenizer(path)
         self.model, self.letter = self.tokenizer.model, {"<u2": "H", "<u4": "I"}[dtype]
+        self.by_words = reads_words(self.tokenizer)
         self.letters: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
@@ -94,6 +119,8 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [self._whole(t) for t in texts]
         for held in (self, self.letters, self.marks):
             if len(held) > CACHED:
                 held.clear()
@@ -165,11 +192,11 @@ class Code:
             opens = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             out[place[opens]] += np.add.reduceat(words >> np.uint64(32), opens)
             out[place[opens] + 1] += np.add.reduceat(words & np.uint64(0xFFFFFFFF), opens)
-        return out.astype(">u4").tobytes()[: (total + 7) // 8], at[::STRIDE].astype("<u4").tobytes()
+        return out.astype(">u4").tobytes()[: (total + 7) // 8], at[::STRIDE].astype("<u8").tobytes()
 
     def decode(self, bits: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         """The n ids, all stretches in step."""
-        at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
+        at = np.frombuffer(checkpoints, "<u8").astype(np.int64)
         raw = np.frombuffer(bits + bytes(8), np.uint8)
         four = np.lib.stride_tricks.as_strided(raw[:4].view(">u4"), (len(raw) - 3,), (1,), writeable=False)
         out = np.zeros((len(at), STRIDE), np.uint32)
