@@ -1,23 +1,32 @@
 """Token counts: totals by source, language and tokenizer version, kept up by signed deltas.
 
-A rollup is a folder. Each batch of changes is combined to one row a key and written to ``batches/<id>``; Spark's
-success marker, the last file of a write, commits it. A batch that has its marker is never applied again, and an
-attempt without one is written anew, so a batch counts once however often it is sent. Totals are the sum of
-committed batches. ``compact`` folds them into ``base/<n>``, with the names of the batches that it holds; totals read
-the last committed base and the batches that it lacks.
+A rollup is a folder. A batch of changes is combined to one row a key, written to ``attempts/``, and committed by one
+rename to ``batches/<name>`` that fails if that name is there. So a batch counts once however often it is sent and
+whoever else sends it; its name is its identity, and what is sent again under a name is ignored, whatever its rows.
+(The rename must not overwrite, which HDFS and local file systems grant; a store without such renames needs a lock.)
+
+Totals are the sum of committed batches. ``compact`` folds them into ``base/<n>``, with a table of the names that it
+holds; totals read the last base and the batches that it lacks. Nothing is deleted by that, so that a frame of totals
+taken earlier can still be read; ``vacuum`` deletes what is replaced or was given up, once it is old enough.
 
 Changes have columns op (insert, delete or revise), source, lang, tokenizer, n_tokens and old_tokens (of revise).
 A null key is a key of its own; null counts are 0; other columns are ignored. A revision whose key changes is a delete
-and an insert. An empty batch commits and changes nothing. Repeated rows count as often as they stand.
+and an insert. An empty batch commits and changes nothing. Repeated rows count as often as they stand. Null and empty
+texts have no tokens, and count as documents.
 """
 
 from __future__ import annotations
 
 import re
+import time
+import uuid
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._arrow import add_columns, texts_of
 from ._shared import forget, scratch, table, tuned, write_once, written
 
 KEYS = ("source", "lang", "tokenizer")
@@ -38,80 +47,123 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = tuned(spark), path.rstrip("/")
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._system = self._fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        context = spark.sparkContext
+        self._fs, conf = context._jvm.org.apache.hadoop.fs, context._jsc.hadoopConfiguration()
+        self._system = self._path("").getFileSystem(conf)
+        self._files = self._fs.FileContext.getFileContext(self._path("").toUri(), conf)
+        self._no_options = context._gateway.new_array(self._fs.Options.Rename, 0)
+        for kind in ("attempts", "batches", "base"):
+            self._system.mkdirs(self._path(kind))
 
-    def _done(self, path: str) -> bool:
-        return self._system.exists(self._fs.Path(f"{path}/_SUCCESS"))
+    def _path(self, name: str):
+        return self._fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _names(self, kind: str) -> list[str]:
-        folder = self._fs.Path(f"{self.path}/{kind}")
-        if not self._system.exists(folder):
-            return []
-        return sorted(n for s in self._system.listStatus(folder) if self._done(f"{self.path}/{kind}/{(n := s.getPath().getName())}"))
+        return sorted(s.getPath().getName() for s in self._system.listStatus(self._path(kind)))
+
+    def _settle(self, attempt: str, name: str) -> bool:
+        """Gives a written attempt its name; False, and the attempt is deleted, if another has it."""
+        try:
+            self._files.rename(self._path(attempt), self._path(name), self._no_options)
+            return True
+        except Py4JJavaError:
+            if not self._system.exists(self._path(name)):
+                raise
+            self._system.delete(self._path(attempt), True)
+            return False
+
+    def _base(self) -> str | None:
+        names = self._names("base")
+        return f"{self.path}/base/{names[-1]}" if names else None
+
+    def _held(self, names: list[str], base: str | None) -> set[str]:
+        """Which of some names of batches a base holds."""
+        if not base or not names:
+            return set()
+        asked = self.spark.createDataFrame([(n,) for n in names], "batch string")
+        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{base}/batches").join(asked, "batch", "left_semi").collect()}
+
+    def _loose(self, base: str | None) -> list[str]:
+        """Committed batches that a base lacks."""
+        names = self._names("batches")
+        held = self._held(names, base)
+        return [n for n in names if n not in held]
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Applies a batch; False if it was committed before."""
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
             raise ValueError(f"a batch can't be named {batch!r}")
-        path = f"{self.path}/batches/{batch}"
-        if self._done(path) or batch in self._held():
+        if self._system.exists(self._path(f"batches/{batch}")) or self._held([batch], self._base()):
             return False
-        self._system.delete(self._fs.Path(path), True)
-        write_once(signed(rows), path)
-        return True
-
-    def batches(self) -> list[str]:
-        """Names of committed batches."""
-        return sorted({*self._names("batches"), *self._held()})
+        attempt = f"attempts/{batch}-{uuid.uuid4().hex}"
+        write_once(signed(rows), f"{self.path}/{attempt}")
+        return self._settle(attempt, f"batches/{batch}")
 
-    def _base(self) -> str | None:
-        names = self._names("base")
-        return f"{self.path}/base/{names[-1]}" if names else None
-
-    def _held(self) -> list[str]:
+    def batches(self) -> DataFrame:
+        """(batch): names of committed batches."""
         base = self._base()
-        return [r[0] for r in self.spark.read.schema("batch string").parquet(f"{base}/batches").collect()] if base else []
+        loose = self.spark.createDataFrame([(n,) for n in self._loose(base)], "batch string")
+        return loose.unionByName(self.spark.read.schema("batch string").parquet(f"{base}/batches")) if base else loose
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens) of keys that have documents or tokens."""
-        base, held = self._base(), set(self._held())
-        paths = [f"{self.path}/batches/{b}" for b in self._names("batches") if b not in held] + [f"{base}/totals"] * bool(base)
+    def _rows(self, base: str | None, loose: list[str]) -> DataFrame:
+        paths = [f"{self.path}/batches/{b}" for b in loose] + [f"{base}/totals"] * bool(base)
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 OR n_tokens != 0")
 
-    def compact(self) -> None:
-        """Folds all committed batches into a new base; what it replaces is deleted after it is committed."""
-        names, old = self.batches(), self._names("base")
-        path = f"{self.path}/base/{int(old[-1]) + 1 if old else 0:012d}"
-        self._system.delete(self._fs.Path(path), True)
-        write_once(self.totals(), f"{path}/totals")
-        write_once(self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1), f"{path}/batches")
-        self._system.create(self._fs.Path(f"{path}/_SUCCESS")).close()
-        for gone in [f"base/{n}" for n in old] + [f"batches/{n}" for n in names]:
-            self._system.delete(self._fs.Path(f"{self.path}/{gone}"), True)
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, n_docs, n_tokens) of keys that have documents or tokens, as of now."""
+        base = self._base()
+        return self._rows(base, self._loose(base))
+
+    def compact(self) -> bool:
+        """Folds all committed batches into a new base; False if another compaction was first."""
+        old, base = self._names("base"), self._base()
+        loose = self._loose(base)
+        attempt = f"attempts/base-{uuid.uuid4().hex}"
+        write_once(self._rows(base, loose), f"{self.path}/{attempt}/totals")
+        names = self.spark.createDataFrame([(n,) for n in loose], "batch string")
+        if base:
+            names = names.unionByName(self.spark.read.schema("batch string").parquet(f"{base}/batches"))
+        write_once(names, f"{self.path}/{attempt}/batches")
+        return self._settle(attempt, f"base/{int(old[-1]) + 1 if old else 0:012d}")
+
+    def vacuum(self, older_than: float = 86_400) -> int:
+        """Deletes what is ``older_than`` seconds old of: bases but the last, batches that it holds, attempts. Their number."""
+        last, until = self._base(), (time.time() - older_than) * 1000
+        names = self._names("batches")
+        gone = [f"base/{n}" for n in self._names("base")[:-1]] + [f"batches/{n}" for n in sorted(self._held(names, last))] + [f"attempts/{n}" for n in self._names("attempts")]
+        gone = [n for n in gone if self._system.getFileStatus(self._path(n)).getModificationTime() <= until]
+        for n in gone:
+            self._system.delete(self._path(n), True)
+        return len(gone)
+
+
+#: A word of nothing but symbols, which a revised text lacks.
+BARE_SYMBOLS = re.compile(r"(?<![^\x20\x09-\x0D])[#*$%&|<>!]+(?![^\x20\x09-\x0D])")
+
 
+def revised_text(text: str) -> str:
+    return BARE_SYMBOLS.sub("", text)
 
-# Patterns of a token, for the query's tokenizers, which can be told in SQL: words between white space; those of them that
-# aren't bare symbols; runs of digits, letters and non-ASCII characters.
-WORDS = r"[^\x20\x09-\x0D]+"
-PLAIN_WORDS = r"[^\x20\x09-\x0D]*[^\x20\x09-\x0D|#*$%&!]+[^\x20\x09-\x0D]*"
-LETTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+def token_counts(docs: DataFrame, byte_vocabulary: str, word_tokenizer: str, text_col: str = "text") -> DataFrame:
+    """``docs`` without the text, with n_byte and n_word, its tokens by either vocabulary, and n_byte_revised, those of its
+    revised text by the first. Texts are read once and go nowhere."""
+    from .bpe import ids_of
+    from .tokens import encoder
 
-def pattern_counted(docs: DataFrame, **patterns: str) -> DataFrame:
-    """``docs`` without the text, with the number of matches of each pattern."""
-    text = F.coalesce("text", F.lit(""))
-    own = [c for c in docs.columns if c not in ("text", *patterns)]
-    return docs.select(*own, *(F.regexp_count(text, F.lit(p)).cast("long").alias(n) for n, p in patterns.items()))
+    def make():
+        words = encoder(word_tokenizer, "<u4").encode
 
+        def run(part: pa.RecordBatch) -> list:
+            texts = texts_of(part, text_col)
+            n_byte = [len(ids_of(byte_vocabulary, t)) for t in texts]
+            again = [n if (new := revised_text(t)) == t else len(ids_of(byte_vocabulary, new)) for t, n in zip(texts, n_byte, strict=True)]
+            return [pa.array(n_byte, pa.int64()), pa.array([len(x) // 4 for x in words(texts)], pa.int64()), pa.array(again, pa.int64())]
 
-def bpe_counted(docs: DataFrame, vocabulary: str, version: str) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, n_tokens) by a byte-level BPE vocabulary."""
-    from .bpe import encode
+        return run
 
-    encoded = encode(docs.select("doc_id", "source", "lang", "text"), vocabulary)
-    return encoded.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), (F.length("ids") / 4).cast("long").alias("n_tokens"))
+    return add_columns(docs, text_col, "n_byte long, n_word long, n_byte_revised long", make, (text_col,))
 
 
 def changes(rows: DataFrame, op: str, tokenizer: str, count: str, old: str | None = None) -> DataFrame:
@@ -120,29 +172,23 @@ def changes(rows: DataFrame, op: str, tokenizer: str, count: str, old: str | Non
     return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(count).alias("n_tokens"), before.alias("old_tokens"))
 
 
+BYTE_VERSION, WORD_VERSION = "byte-bpe-50k", "word-bpe-49k"
+
+
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
-    """All ``documents`` under two tokenizers; toxic ones deleted, poor ones revised; batches sent twice count once."""
+    """All ``documents`` under two tokenizers; toxic ones deleted, others revised where their text changes; batches sent twice count once."""
+    import public_tokenizers as vocabularies
+
     rollup = Rollup(spark, scratch(spark, "token-counts"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     # texts are counted once and left behind; what is joined are a few numbers a document
-    counted = written(pattern_counted(docs, words=WORDS, plain=PLAIN_WORDS, letters=LETTERS), "counted")
-    labelled = counted.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
-    toxic, poor = labelled.where("toxic = 1"), labelled.where("quality = 0 AND toxic = 0")
-    first, second = changes(counted, "insert", "words-1", "words"), changes(counted, "insert", "letters-1", "letters")
-    deletes = changes(toxic, "delete", "words-1", "words").unionByName(changes(toxic, "delete", "letters-1", "letters"))
-    # a poor document's words are counted anew without the bare symbols between them
-    revised = changes(poor, "revise", "words-1", "plain", "words")
-    for name, rows in (("words", first), ("letters", second), ("toxic", deletes), ("words", first), ("poor", revised), ("toxic", deletes)):
+    counted = written(token_counts(docs, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.path("word_bpe_49k.json")), "counted")
+    labels = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    toxic, others = counted.join(labels, "doc_id", "left_semi"), counted.where("n_byte != n_byte_revised").join(labels, "doc_id", "left_anti")
+    first, second = changes(counted, "insert", BYTE_VERSION, "n_byte"), changes(counted, "insert", WORD_VERSION, "n_word")
+    deletes = changes(toxic, "delete", BYTE_VERSION, "n_byte").unionByName(changes(toxic, "delete", WORD_VERSION, "n_word"))
+    revised = changes(others, "revise", BYTE_VERSION, "n_byte_revised", "n_byte")
+    for name, rows in (("byte", first), ("word", second), ("toxic", deletes), ("byte", first), ("symbols", revised), ("toxic", deletes)):
         rollup.commit(name, rows)
     forget(counted)
     return rollup.totals()
-
-
-ORACLE = f"""
-WITH c AS (SELECT d.doc_id, source, lang, coalesce(l.toxic, 0) = 1 AS toxic, coalesce(l.quality = 0 AND l.toxic = 0, false) AS poor,
-  len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS w, len(regexp_extract_all(coalesce(text, ''), '{PLAIN_WORDS}')) AS f, len(regexp_extract_all(coalesce(text, ''), '{LETTERS}')) AS a
-  FROM documents d LEFT JOIN labels l USING (doc_id))
-SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM (
-  SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN poor THEN f ELSE w END AS n FROM c WHERE NOT toxic
-  UNION ALL SELECT source, lang, 'letters-1', a FROM c WHERE NOT toxic) GROUP BY ALL
-"""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
-from .counts import ORACLE as COUNTS_ORACLE
 from .counts import op9_token_counts
 from .decontaminate import op10_decontaminate
 from .jaccard import op1_jaccard_join
@@ -41,7 +40,6 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM d
 """,
     "op8_url_filters": urls_oracle(),
-    "op9_token_counts": COUNTS_ORACLE,
     "op6_substrings": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM d, unnest(range(1, len(w) - 18)) AS t(i)),

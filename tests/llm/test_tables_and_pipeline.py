@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -151,24 +152,47 @@ def test_token_counts(spark, tmp_path):
     assert got() == want
     rollup.compact()
     assert got() == want and not rollup.commit("b2", batches["b2"]) and got() == want
-    # an attempt that broke off leaves no marker and counts for nothing; it is applied when sent again
+    # an attempt that broke off was never renamed and counts for nothing; it is applied when sent again
     assert rollup.commit("late", batches["b0"].limit(0)) and got() == want
-    counts.signed(batches["b1"]).write.parquet(f"file://{tmp_path}/c/batches/broken")
-    (tmp_path / "c/batches/broken/_SUCCESS").unlink()
+    counts.signed(batches["b1"]).write.parquet(f"file://{tmp_path}/c/attempts/broken-1")
+    before = rollup.totals()
     assert got() == want and rollup.commit("broken", batches["b1"])
-    rollup.compact()
-    assert rollup.batches() == ["b0", "b1", "b2", "b3", "broken", "late"]
+    # of two writers of one name the second to finish gives way
+    counts.signed(batches["b2"]).write.parquet(f"file://{tmp_path}/c/attempts/race-1")
+    counts.signed(batches["b3"]).write.parquet(f"file://{tmp_path}/c/attempts/race-2")
+    twice = got()
+    assert rollup._settle("attempts/race-1", "batches/race") and not rollup._settle("attempts/race-2", "batches/race")
+    one, known = got(), counts.Rollup(spark, f"file://{tmp_path}/c")
+    assert one != twice and rollup.compact() and got() == one
+    # what was taken before a compaction can still be read, until it is cleared away
+    assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in before.collect()} == want
+    assert rollup.vacuum() == 0 and rollup.vacuum(-60) == 9 and got() == one
+    assert sorted(r.batch for r in known.batches().collect()) == ["b0", "b1", "b2", "b3", "broken", "late", "race"]
+    assert not any(known.commit(b, batches["b0"]) for b in ("b0", "race")) and got() == one
     with pytest.raises(Exception, match="unknown op"):
         rollup.commit("bad", spark.createDataFrame([("upsert", "a", "b", "c", 1, 1, 1)], CHANGES))
     with pytest.raises(ValueError):
         rollup.commit("../x", batches["b0"])
 
 
-def test_bpe_counts(spark):
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    docs = spark.createDataFrame([(1, "s", "en", "some words here"), (2, "s", None, None)], "doc_id long, source string, lang string, text string")
-    got = {r.doc_id: r.n_tokens for r in counts.bpe_counted(docs, path, "bpe").collect()}
-    assert got == {1: len(bpe.encoding(path).encode_ordinary("some words here")), 2: 0}
+def test_token_counts_query(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(i, t, ("a", "b", None)[i % 3], ("en", None)[i % 2]) for i, t in corpus(7)] + [(None, "null id ###", "a", "en"), (3, "again | and & again", "b", "en"), (3, "again | and & again", "b", "en"), (70, "!!", "a", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(3, 0, 1), (3, 0, 1), (5, 1, None), (8, 0, 1), (None, 0, 1), (12, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    byte = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    word = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    bare = lambda t: "".join(x for x in re.split(r"([\x20\x09-\x0D]+)", t) if not re.fullmatch(r"[#*$%&|<>!]+", x))
+    want = Counter()
+    for i, t, source, lang in rows:
+        if i not in (3, 8):
+            for name, n in ((counts.BYTE_VERSION, len(byte.encode_ordinary(bare(t or "")))), (counts.WORD_VERSION, len(word.encode(t or "", add_special_tokens=False).ids))):
+                want[source, lang, name, "docs"] += 1
+                want[source, lang, name, "tokens"] += n
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in counts.op9_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {k[:3]: (want[(*k[:3], "docs")], want[(*k[:3], "tokens")]) for k in want}
 
 
 def test_components(spark):

@@ -195,6 +195,14 @@ def test_word_encoder_is_the_library():
         assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_tokenizers_get_whole_texts():
+    for name, words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        t, e = tokens.tokenizer(path), tokens.WordEncoder(path, "<u4")
+        texts = ["It's  A Cased Text.\n\nwith  Spaces ", "", "x" * 5000 + " É\tb"]
+        assert e.by_words == words and [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_huffman_codes():
     rng = np.random.default_rng(2)
     for n, limit in ((1, 16), (2, 16), (300, 9), (5000, 16)):
