@@ -106,8 +106,8 @@ def test_trees_are_monotone_and_learn():
         assert (sign * np.diff(trees.score(grid).reshape(50, 40), axis=1) >= -1e-12).all()
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_decontamination(spark, docs, block_bytes):
+@pytest.mark.parametrize("block_bytes, at_once", [(1 << 20, 4), (300, 9), (100, 1)])
+def test_decontamination(spark, docs, block_bytes, at_once):
     frame, texts = docs
     long = next(t for t in texts.values() if t and 100 < len(bench_words(t)) < 300)
     items = [(1, " ".join(bench_words(long)[5:30]).upper()), (2, "ONE"), (2, "one"), (3, "a, b... c-d"), (4, None), (5, ""), (None, "end"), (6, "nowhere to be found"), (7, "x " * 12), (8, " ".join(bench_words(long)[5:40]))]
@@ -118,7 +118,7 @@ def test_decontamination(spark, docs, block_bytes):
         n = min(10, len(w))
         for a in range(len(w) - n + 1 if n else 0):
             patterns[tuple(w[a : a + n])].add("null" if i is None else str(i))
-    rows = decontaminate.find_contamination(frame, bench, block_bytes=block_bytes).collect()
+    rows = decontaminate.find_contamination(frame, bench, block_bytes=block_bytes, blocks_at_once=at_once).collect()
     assert len(rows) == len(texts)
     some = 0
     for r in rows:
@@ -135,6 +135,30 @@ def test_decontamination(spark, docs, block_bytes):
     assert all(not r.hit_spans for r in decontaminate.find_contamination(frame, bench.limit(0)).collect())
 
 
+def test_benchmark_blocks_are_small():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words_ = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words_) for _ in range(40)) for _ in range(2000)]
+    raw = decontaminate.Block.build([str(i) for i in range(2000)], pa.array(texts), 10).dump()
+    assert len(raw) < 8 * sum(map(len, texts)) + (4 << 20)
+    block = decontaminate.Block.load(raw)
+    held = [block.words.buf, block.words.start, block.words.end, block.words.inside, block.h, *(getattr(p, a) for p in block.patterns for a in p.ARRAYS)]
+    assert sum(x.nbytes for x in held) < 14 * sum(map(len, texts)) + (4 << 20)
+
+
+def test_patterns_of_equal_hash_stay_apart(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontaminate, "grams", lambda h, n: np.zeros(max(len(h) - n + 1, 0), np.uint64))
+    block = decontaminate.Block.build(["p", "q", "r"], pa.array(["a b", "c d", "a b"]), 2)
+    text = decontaminate.plain_words(pa.array(["x c d", "a b a b", "b c"]))
+    hit, names = np.zeros(len(text), bool), {}
+    block.mark(text, text.hashes(), hit, names)
+    assert names == {0: {"q"}, 1: {"p", "r"}} and hit.tolist() == [False, True, True, True, True, True, True, False, False]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
