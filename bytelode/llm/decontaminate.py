@@ -87,9 +87,12 @@ class Patterns:
         starts, item, g = starts[order], item[order], g[order]
         opens = np.concatenate([[True], g[1:] != g[:-1]])
         # what has another's hash but other words is a pattern of its own
-        first = starts[np.flatnonzero(opens)][np.cumsum(opens) - 1]
-        opens |= ~same_words(words, starts, words, first, length)
-        at = np.flatnonzero(opens)
+        group = np.cumsum(opens) - 1
+        odd = np.flatnonzero(~same_words(words, starts, words, starts[opens][group], length))
+        group[odd] = len(starts) + np.arange(len(odd))
+        order = np.argsort(group, kind="stable")
+        starts, item, group = starts[order], item[order], group[order]
+        at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         own = starts[at].astype(np.int32)
         block = min(2, length)
         bits = min(22, max(12, int(math.log2(len(own) * length + 1)) + 3))
