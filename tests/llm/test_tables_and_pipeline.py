@@ -68,7 +68,9 @@ def rank(edges, seeds, damping, rounds):
     return score
 
 
-def test_url_filters(spark):
+@pytest.mark.parametrize("inline", [200, 0])
+def test_url_filters(spark, monkeypatch, inline):
+    monkeypatch.setattr(urls, "INLINE_RULES", inline)
     link = lambda *hosts: "".join(f'<a class="x" href="https://{h}/p?q">t</a>' for h in hosts) + '<a href="/own">o</a>'
     rows = [
         (1, "http://farm.com/a", link("bad.net", "worse.net", "bad.net")), (2, "http://fan.com/?x#y", link("farm.com")), (3, "http://good.org/fr/", link("nice.com")), (4, "http://nice.com", link("good.org")),
@@ -99,8 +101,8 @@ def test_url_filters(spark):
             if src and dst and src != dst:
                 edges[src, dst] += 1
     bad = {h for h in hosts if h and rule_of(h, "/", urls.RULES)[1] == "block"}
-    good = {h for h in hosts if h and rule_of(h, "", [("allow", x, "") for v, x, _ in urls.RULES if v == "allow"])[1]} - bad
-    trust, distrust = rank(edges, good, urls.DAMPING, urls.ROUNDS), rank({(b, a): w for (a, b), w in edges.items()}, bad, urls.DAMPING, urls.ROUNDS)
+    good = {h for h in hosts if h and rule_of(h, "/", urls.RULES)[1] == "allow"} | {parse(u)[0] for _, u, _ in rows if rule_of(*parse(u), urls.RULES)[1] == "allow"}
+    trust, distrust = rank(edges, good - bad, urls.DAMPING, 1000), rank({(b, a): w for (a, b), w in edges.items()}, bad, urls.DAMPING, 1000)
     want = []
     for i, u, _ in rows:
         host, path = parse(u)
@@ -110,6 +112,28 @@ def test_url_filters(spark):
     assert got == sorted(want)
     assert {i: v for i, *_, v in got}[1] == "block" and {i: v for i, *_, v in got}[4] == "allow"
     assert urls.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
+    for wrong in ([("deny", "a", "/")], [("allow", "", "/")]):
+        with pytest.raises(ValueError):
+            urls.judge_urls(spark.createDataFrame([], PAGES), wrong)
+
+
+def test_url_filters_equal_their_sql(spark, tmp_path):
+    """On links in chains, cycles and out of vouched pages, which the generated pages lack; and more rules than fit a plan."""
+    import duckdb
+
+    rng = random.Random(6)
+    hosts = [f"h{k}.test" for k in range(40)] + ["bad.net", "x.example.net", "a.org", "b.org", "www.example.com"]
+    rows = [(k, f"http://{rng.choice(hosts)}/{rng.choice(['', 'en/', 'fr/', 'de/'])}{k}", "".join(f'<a href="https://{rng.choice(hosts)}/x">t</a>' for _ in range(rng.randint(0, 2)))) for k in range(90)]
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in urls.op8_url_filters(spark, str(tmp_path)).collect())
+    want = con.execute(urls.oracle())
+    assert [c[0] for c in want.description] == ["page_id", "host", "path", "rule", "verdict"] and got == sorted(want.fetchall())
+    assert 5 < sum(r[3] is None and r[4] == "block" for r in got) < 85
+    many = [("block", f"h{k}.test", f"/{'ef'[k % 2]}") for k in range(300)] + [("allow", "test", "/fr/")]
+    few = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, PAGES), many[:40] + many[-1:]).collect()}
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, PAGES), many).collect()} == few
 
 
 def test_url_scores_settle_on_chains_and_cycles(spark):
