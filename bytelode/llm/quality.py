@@ -4,11 +4,12 @@ Words are runs of other bytes than ASCII white space, unchanged. The trees are g
 logistic loss; on the features of ``MONOTONE`` no split and no leaf may reverse the stated direction.
 They are flattened into arrays of nodes and score a batch in one numpy pass a level.
 
-Fitting uses at most ``max_labelled`` labelled rows, those of the smallest hash of the id; scoring covers
-all rows. With no labelled rows, or of one class only, the base rules alone decide.
+Fitting uses at most ``max_labelled`` labelled ids, those of the smallest hash, one row each (of rows that share an
+id the one of the smallest statistics, of labels the best), in order of the ids, so that the trees don't depend on how
+rows are dealt. Scoring covers all rows. With no labelled rows, or of one class only, the base rules alone decide.
 
-Null and empty texts have no words and fail the base rules. Repeated rows each get a row. A column named
-like a result column gives way to it.
+Null and empty texts have no words and fail the base rules. Repeated rows each get a row. Rows without id are
+judged and not learnt from. A column named like a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -189,12 +190,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = bounded_sample(sample, id_col, max_labelled)
     # at most max_labelled rows of two numbers
     own = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
-    got = add_statistics(own, text_col).drop(text_col, id_col).toArrow()
-    y = got["y"].to_numpy().astype(np.float64)[: 2 * max_labelled]
+    names = (*COUNTS, *OTHERS)
+    one = add_statistics(own, text_col).groupBy(id_col).agg(F.min(F.struct("y", *names)).alias("s")).select(F.col(id_col).alias("id"), "s.*")
+    got = one.toArrow().sort_by("id")
+    y = got["y"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    s = {n: got[n].to_numpy()[: 2 * max_labelled] for n in (*COUNTS, *OTHERS)}
-    return fit(features(s), (y > 0).astype(np.float64), MONOTONE)
+    return fit(features({n: got[n].to_numpy() for n in names}), (y > 0).astype(np.float64), MONOTONE)
 
 
 def judge(docs: DataFrame, trees: Trees | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -218,3 +220,21 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``, with trees fitted on ``labels``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", *COUNTS, "base_failed", "kept", "quality_score")
+
+
+def quality_counts(spark, sf_dir: str) -> DataFrame:
+    """The part of that which SQL can say: counts and base rules of every whole text."""
+    return op7_quality(spark, sf_dir).select("doc_id", *COUNTS, "base_failed")
+
+
+COUNTS_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS t(i)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT j)::BIGINT AS n FROM c, unnest(range(i, i + 5)) AS t(j) WHERE c.n > 1 GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+  len(w) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(w) AS base_failed
+FROM d LEFT JOIN r USING (doc_id)
+"""

@@ -7,14 +7,15 @@ from .counts import op9_token_counts
 from .decontaminate import op10_decontaminate
 from .jaccard import op1_jaccard_join
 from .licenses import op3_licenses
-from .quality import op7_quality
+from .quality import COUNTS_ORACLE as QUALITY_ORACLE
+from .quality import op7_quality, quality_counts
 from .substrings import op6_substrings
 from .tokens import op4_token_files
 from .urls import op8_url_filters
 from .urls import oracle as urls_oracle
 from .warc import op2_warc
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_warc": op2_warc, "op3_licenses": op3_licenses, "op4_token_files": op4_token_files, "op8_url_filters": op8_url_filters, "op9_token_counts": op9_token_counts, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_quality": op7_quality, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_warc": op2_warc, "op3_licenses": op3_licenses, "op4_token_files": op4_token_files, "op8_url_filters": op8_url_filters, "op9_token_counts": op9_token_counts, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_quality": op7_quality, "quality_counts": quality_counts, "op10_decontaminate": op10_decontaminate}
 
 ORACLES = {
     "op1_jaccard_join": r"""
@@ -40,6 +41,7 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM d
 """,
     "op8_url_filters": urls_oracle(),
+    "quality_counts": QUALITY_ORACLE,
     "op6_substrings": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM d, unnest(range(1, len(w) - 18)) AS t(i)),

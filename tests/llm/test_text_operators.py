@@ -74,7 +74,20 @@ def test_substrings_edges(spark):
     assert sorted(((r.doc_id or 0), r.kept_text) for r in rows) == [(0, text), (1, ""), (1, ""), (2, "x")]
 
 
+def by_hand(trees, x):
+    """The chance of one row, node by node."""
+
+    def walk(node):
+        if trees.feature[node] < 0:
+            return trees.value[node]
+        return walk(trees.left[node] + int(x[trees.feature[node]] > trees.threshold[node]))
+
+    return 1 / (1 + np.exp(-(trees.base + sum(walk(r) for r in trees.root))))
+
+
 def test_quality(spark, docs):
+    import pyarrow as pa
+
     frame, texts = docs
     labels = spark.createDataFrame([(i, int(len(t or "") % 3 > 0)) for i, t in texts.items() if i % 2] + [(1, None), (None, 1), (99999, 0)], "doc_id long, quality int")
     trees = quality.train(frame, labels)
@@ -89,6 +102,10 @@ def test_quality(spark, docs):
         r = rows[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and not (r.base_failed and r.kept)
+        assert r.kept == (not r.base_failed and abs(r.quality_score - 0.5) >= 1e-12 and by_hand(trees, quality.features({k: v for k, v in quality.statistics(pa.array([t], pa.string()), [s]).items()})[0]) >= 0.5)
+    assert len({r.kept for r in rows.values()}) == 2
+    again = quality.train(frame.unionByName(frame).repartition(5), labels.unionByName(labels).repartition(2))
+    assert all(np.array_equal(getattr(again, a), getattr(trees, a)) for a in ("root", "feature", "threshold", "left", "value"))
     assert quality.train(frame, labels.where("quality = 1")) is None
     assert all(r.kept != r.base_failed for r in quality.judge(frame, None).collect())
     assert quality.judge(frame.limit(0), trees).collect() == []
