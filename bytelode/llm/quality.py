@@ -229,7 +229,7 @@ def quality_counts(spark, sf_dir: str) -> DataFrame:
 
 COUNTS_ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS t(i)),
 c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT j)::BIGINT AS n FROM c, unnest(range(i, i + 5)) AS t(j) WHERE c.n > 1 GROUP BY 1)
