@@ -4,12 +4,20 @@ A dictionary is built from at most ``DICTIONARY_RECORDS`` archived records (thos
 at most ``DICTIONARY_RECORD_BYTES`` each); it only affects sizes. Every archive starts with a skippable frame that
 holds it, as archives of the kind do, so any reader finds it there. Archives are written by Spark's own text writer:
 a row is a frame, and the line separator is an empty skippable frame, which decoders skip. So files are committed as
-any Spark output is, on any file system, and survive a lost executor.
+any Spark output is, on any file system, survive a lost executor, and have the names that the writer gives.
+
+They are read back by Spark's text reader with that separator, which splits large archives between tasks; a task holds
+a record at a time. The writer sees to it that no frame holds the separator's bytes. Frames name their dictionary by
+its number, so that each is decoded with that of its archive. ``frames`` reads any archive of this kind in memory,
+with separators or without.
 
 Of records with equal payloads of ``least`` bytes or more, that of the largest id is a response and the others are
 revisits of it. A null payload is empty. A null url has no target header; a row without id is no record's largest,
 and is a response where no row of its payload has an id. Rows that repeat the largest id with its payload are all
 responses. Columns other than the three named are left out.
+
+Html is not shuffled while at most ``BROADCAST_ROWS`` rows are revisits, which are then broadcast (three small fields
+each); beyond that, revisits and rows meet in a join by id and digest, which shuffles the html once.
 """
 
 from __future__ import annotations
@@ -30,9 +38,10 @@ DICTIONARY_RECORDS, DICTIONARY_RECORD_BYTES, DICTIONARY_BYTES = 400, 1 << 16, 1
 #: Magic of the frame with the dictionary, and an empty skippable frame.
 DICTIONARY_MAGIC = (0x184D2A5D).to_bytes(4, "little")
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
+SEPARATOR_BYTES = SEPARATOR.encode()
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.UUID("a57a3f0e-6d0b-5d43-9a52-0d6f1f6f2b11")
-#: Rows of revisits (three small fields each) up to which they are broadcast; beyond it they are joined by a shuffle.
+#: Rows of revisits up to which they are broadcast.
 BROADCAST_ROWS = 50_000
 FEED = 1 << 16
 
@@ -116,6 +125,15 @@ def frames(archive: bytes):
         yield b"".join(parts)
 
 
+def framed(record_bytes: bytes, encoders: list) -> bytes:
+    """A record's frame, by the first encoder whose frame doesn't hold the separator (in practice the first)."""
+    for encoder in encoders:
+        out = encoder.compress(record_bytes)
+        if SEPARATOR_BYTES not in out:
+            return out
+    raise ValueError("no encoding of a record is free of the separator")
+
+
 def find_revisits(pages: DataFrame, id_col: str, payload_col: str, least: int) -> DataFrame:
     """(id, sha, refers_to) of the rows that are revisits."""
     own = pages.select(F.col(id_col).alias("id"), F.sha1(F.coalesce(F.col(payload_col), F.lit("")).cast("binary")).alias("sha"), F.coalesce(F.octet_length(payload_col), F.lit(0)).alias("size")).where(F.col("size") >= least)
@@ -125,7 +143,7 @@ def find_revisits(pages: DataFrame, id_col: str, payload_col: str, least: int) -
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> None:
-    """Writes ``path``/*.warc.zst, one archive for each partition of ``pages``."""
+    """Writes a folder of archives, one for each partition of ``pages``."""
     spark = tuned(pages.sparkSession)
     sample = pages.where((F.octet_length(payload_col) > 0) & (F.octet_length(payload_col) <= DICTIONARY_RECORD_BYTES)).select(id_col, url_col, payload_col)
     sample = bounded_sample(sample, id_col, DICTIONARY_RECORDS)
@@ -139,7 +157,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     def run(batches):
         import zstandard
 
-        encoder = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
+        own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        encoders = [zstandard.ZstdCompressor(level=k, dict_data=own, write_checksum=True) for k in (level, *range(1, 10))]
         first = True
         for batch in batches:
             for i in range(batch.num_rows):
@@ -147,39 +166,47 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     yield pa.RecordBatch.from_arrays([pa.array([dictionary_frame(dictionary)], pa.binary())], names=["frame"])
                 first = False
                 page, url, payload, refers_to, revisit = (column(batch, c)[i].as_py() for c in ("own", "url", "payload", "refers_to", "revisit"))
-                yield pa.RecordBatch.from_arrays([pa.array([encoder.compress(record(page, url, payload.encode(), refers_to, revisit, date))], pa.binary())], names=["frame"])
+                yield pa.RecordBatch.from_arrays([pa.array([framed(record(page, url, payload.encode(), refers_to, revisit, date), encoders)], pa.binary())], names=["frame"])
 
     rows.mapInArrow(run, "frame binary").select(F.expr("cast(frame AS string)").alias("value")).write.option("lineSep", SEPARATOR).text(path)
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = files.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in system.listStatus(folder):
-        name = status.getPath().getName()
-        if name.endswith(".txt"):
-            system.rename(status.getPath(), files.Path(folder, name[:-4] + ".warc.zst"))
 
 
 def read_archives(spark, path: str, id_type: str = "long", payload: bool = True) -> DataFrame:
-    """One row for each record of the archives in a folder."""
+    """One row for each record of the archives in a folder that ``write_archives`` made."""
     schema = "page_id string, refers_to string, url string, record_id string, record_type string, payload_bytes long, payload_digest string" + ", payload binary" * payload
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
+    rows = tuned(spark).read.option("lineSep", SEPARATOR).text(path).select(F.col("value").cast("binary").alias("frame"))
+    leading = F.col("frame").substr(1, 4) == F.lit(DICTIONARY_MAGIC)
+    # a folder has one dictionary, however many archives; of folders read together each has its own
+    dictionaries = [bytes(r.frame) for r in rows.where(leading).distinct().collect()]
 
     def run(batches):
+        import zstandard
+
+        held = [zstandard.ZstdCompressionDict(d[8:]) for d in dictionaries]
+        decoders = {d.dict_id(): zstandard.ZstdDecompressor(dict_data=d) for d in held}
+        plain = zstandard.ZstdDecompressor()
+
+        def decoded(frame: bytes) -> bytes:
+            decoder = decoders.get(zstandard.get_frame_parameters(frame).dict_id, plain).decompressobj()
+            out = decoder.decompress(frame)
+            if not decoder.eof or decoder.unused_data:
+                raise ValueError("an archive's frame is broken")
+            return out
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                held, size = [], 0
-                for raw in frames(batch.column(0)[i].as_py()):
-                    held.append(parse(raw))
-                    size += len(raw) if payload else 1000
-                    if size > FEED * 16:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in held], kinds.get(n, pa.string())) for n in names], names=names)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in held], kinds.get(n, pa.string())) for n in names], names=names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
-    return files.mapInArrow(run, schema).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
+            found, size = [], 0
+            for frame in batch.column(0):
+                found.append(parse(decoded(frame.as_py())))
+                size += found[-1]["payload_bytes"] if payload else 0
+                if size > FEED * 16:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], kinds.get(n, pa.string())) for n in names], names=names)
+                    found, size = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], kinds.get(n, pa.string())) for n in names], names=names)
+
+    return rows.where(~leading).mapInArrow(run, schema).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:

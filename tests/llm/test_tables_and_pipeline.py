@@ -45,7 +45,7 @@ def test_warc_least_size_and_dictionary(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", "tiny"), (2, "b", "tiny"), (3, "c", "large" * 30), (4, "d", "large" * 30)], PAGES)
     warc.write_archives(pages, f"file://{tmp_path}/w", least=20)
     assert sorted((r.page_id, r.record_type) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()) == [(1, "response"), (2, "response"), (3, "revisit"), (4, "response")]
-    files = [p for p in (tmp_path / "w").iterdir() if p.name.endswith(".warc.zst") and p.stat().st_size]
+    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-") and p.stat().st_size]
     assert files and all(p.read_bytes()[:4] == warc.DICTIONARY_MAGIC for p in files)
     assert warc.build_dictionary([]) == b""
     with pytest.raises(ValueError):
@@ -54,6 +54,29 @@ def test_warc_least_size_and_dictionary(spark, tmp_path):
         list(warc.frames(files[0].read_bytes()[:-12]))
 
 
+def test_warc_archives_are_split_and_free_of_separators(spark, tmp_path):
+    rng = random.Random(4)
+    pages = spark.createDataFrame([(i, "u", rng.randbytes(3000).hex()) for i in range(200)], PAGES).coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    (file,) = (p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-"))
+    assert sum(warc.parse(r)["payload_bytes"] for r in warc.frames(file.read_bytes())) == 200 * 6000
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        frame = warc.read_archives(spark, f"file://{tmp_path}/w")
+        assert frame.rdd.getNumPartitions() > 3 and sorted(r.page_id for r in frame.collect()) == list(range(200))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+    class Encoder:
+        def __init__(self, out):
+            self.compress = lambda raw: out
+
+    assert warc.framed(b"x", [Encoder(b"a" + warc.SEPARATOR_BYTES), Encoder(b"b")]) == b"b"
+    with pytest.raises(ValueError):
+        warc.framed(b"x", [Encoder(warc.SEPARATOR_BYTES)])
+
+
 def rank(edges, seeds, damping, rounds):
     total = Counter()
     for (a, _), w in edges.items():
