@@ -40,8 +40,8 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in column(batch, name).to_pylist()]
 
 
-def grouped(df: DataFrame, keys: list[str], schema: str, fold: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Rows dealt by ``keys``, sorted, and folded one key at a time; groups must be bounded by the caller's keys."""
+def grouped(df: DataFrame, keys: list[str], schema: str, fold: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], order: list[str] | None = None) -> DataFrame:
+    """Rows dealt by ``keys``, sorted (within a key by ``order``), and folded one key at a time; keys must bound their groups."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = T.StructType.fromDDL(schema)
 
@@ -64,4 +64,4 @@ def grouped(df: DataFrame, keys: list[str], schema: str, fold: Callable[[list[pa
         if held:
             yield from fold(held)
 
-    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, out)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, out)

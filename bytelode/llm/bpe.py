@@ -1,13 +1,18 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-A text of up to ``chunk`` characters is encoded whole where it lies. A longer one is cut into chunks
-that overlap; chunks are dealt over the cluster, pre-tokenised and encoded there on their own, and
-stitched where the pre-token boundaries of neighbours meet again: a scan depends only on what follows
-its position, so from a shared boundary on both scans are one. Where neighbours share no boundary in
-their overlap (one endless pre-token, say), that text is scanned again from the last sure boundary to its end.
-
-Null and empty texts have no ids. Rows with equal ids, equal texts or both each get a row. Extra columns
-are kept in the order of the input for ``encode``; one named like a result column gives way to it.
+Every text is cut into chunks of ``chunk`` characters, each with ``overlap`` characters of the next. Chunks are dealt
+over the cluster and pre-tokenised there on their own. Neighbours are stitched where their pre-token boundaries meet
+again: a scan depends only on what follows its position, so from a shared boundary on both scans are one. What lies
+between two stitches is a piece; pieces are dealt anew and encoded, and a text's ids are those of its pieces in order.
+Where neighbours share no boundary in their overlap (one endless pre-token, say) their chunks are one piece. A text of
+one chunk is one piece and needs no boundary: it is encoded by the same function where it lies.
+
+A boundary counts only if a character other than white space is before it, for the pattern looks ahead at what
+follows white space; so a piece has the same pre-tokens alone as in its text.
+
+Null and empty texts have no ids. Rows with equal ids, equal texts or both each get a row: long texts are numbered
+by a written table, so that no two rows meet under one key. Extra columns are kept in the order of the input for
+``encode``; one named like a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -17,16 +22,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from ._arrow import add_columns, column, grouped, texts_of
-from ._shared import table, tuned
+from ._shared import table, tuned, written
 
 CHUNK, OVERLAP = 1 << 15, 1 << 11
 #: Characters before a chunk's end within which its last matches are not sure (the pattern looks ahead by up to three).
 MARGIN = 4
-PARTS = ("marks", "ids", "tokens_at")
 
 
 @lru_cache(4)
@@ -40,15 +45,6 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@lru_cache(4)
-def token_sizes(path: str) -> np.ndarray:
-    e = encoding(path)
-    size = np.zeros(e.n_vocab, np.int64)
-    for token in e.token_byte_values():
-        size[e.encode_single_token(token)] = len(token)
-    return size
-
-
 def ids_of(path: str, text: str) -> np.ndarray:
     return encoding(path).encode_to_numpy(text, disallowed_special=()).astype("<u4") if text else np.zeros(0, "<u4")
 
@@ -66,81 +62,76 @@ def cut(text: str, chunk: int, overlap: int) -> list[tuple[int, str]]:
     return [(at, text[at : at + chunk + overlap]) for at in range(0, max(len(text) - overlap, 1), chunk)]
 
 
-def encode_chunk(path: str, at: int, text: str, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: its sure boundaries (character positions in the document), ids, and ids before each boundary."""
+def boundaries(text: str) -> np.ndarray:
+    """The sure boundaries of a chunk that pieces can end at, as places in it."""
     ends = pretokens(text)
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    sure = ends if last else ends[(ends < len(text)) & (starts + MARGIN <= len(text))]
-    ids = ids_of(path, text)
-    size = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    width = np.concatenate([[0], np.cumsum(1 + (size >= 0x80) + (size >= 0x800) + (size >= 0x10000))])
-    marks = np.concatenate([[0], sure]).astype(np.int64)  # position 0 counts as one only in the first chunk
-    tokens_at = np.searchsorted(np.concatenate([[0], np.cumsum(token_sizes(path)[ids])]), width[marks])
-    return marks + at, ids, tokens_at
-
-
-def stitch(path: str, chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], text_from) -> np.ndarray:
-    """The ids of a document from those of its chunks. text_from(character): the rest of the text, for the exact way out."""
-    out, (marks, ids, tokens_at), begin = [], chunks[0], 0
-    for following in chunks[1:]:
-        both = np.intersect1d(marks[begin:], following[0][1:])
-        if not len(both):
-            return np.concatenate([*out, ids[tokens_at[begin] : tokens_at[-1]], ids_of(path, text_from(int(marks[-1])))])
-        meet = int(np.searchsorted(marks, both[0]))
-        out.append(ids[tokens_at[begin] : tokens_at[meet]])
-        marks, ids, tokens_at = following
-        begin = int(np.searchsorted(marks, both[0]))
-    return np.concatenate([*out, ids[tokens_at[begin] :]])
+    sure = ends[(ends < len(text)) & (starts + MARGIN <= len(text))]
+    return sure[[not text[e - 1].isspace() for e in sure.tolist()]] if len(sure) else sure
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``docs`` without the text, with ``ids``: its token ids as little-endian unsigned 32-bit integers (binary)."""
-    spark = tuned(docs.sparkSession)
-    whole = F.coalesce(F.length(text_col), F.lit(0)) <= chunk
+    tuned(docs.sparkSession)
+    # what ``cut`` leaves in one chunk
+    whole = F.coalesce(F.length(text_col), F.lit(0)) <= chunk + overlap
 
-    def short():
+    def make():
         def run(part: pa.RecordBatch) -> list:
             return [pa.array([ids_of(vocabulary, t).tobytes() for t in texts_of(part, text_col)], pa.binary())]
 
         return run
 
-    direct = add_columns(docs.where(whole), text_col, "ids binary", short, (text_col,))
+    direct = add_columns(docs.where(whole), text_col, "ids binary", make, (text_col,))
     others = [c for c in docs.columns if c.lower() not in (text_col.lower(), "ids")]
-    # copies of a text stay apart by their id, so that no group grows with the number of copies
-    key = F.concat(F.sha2(F.col(text_col).cast("binary"), 256), F.hex(F.xxhash64(id_col)))
-    long = docs.where(~whole).select(F.struct(*others).alias("row"), key.alias("key"), F.col(text_col).alias("text"))
+    long = docs.where(~whole).select(F.struct(*others).alias("row"), F.col(text_col).alias("text"))
     row_type = long.schema["row"].dataType.simpleString()
 
-    def rows(kept: pa.Array, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([kept, *columns.values()], names=["row", *columns])
-
     def spread(batches):
+        part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             kept = column(batch, "row")
-            for i, (name, text) in enumerate(zip(column(batch, "key").to_pylist(), texts_of(batch, "text"), strict=True)):
+            for i, text in enumerate(texts_of(batch, "text")):
                 pieces = cut(text, chunk, overlap)
-                n = len(pieces)
-                first = kept.take(pa.array([0 + i] + [None] * (n - 1), pa.int64()))  # the row rides with its first chunk
-                yield rows(first, key=pa.array([name] * n), k=pa.array(range(n), pa.int32()), n=pa.array([n] * n, pa.int32()), at=pa.array([x[0] for x in pieces], pa.int64()), text=pa.array([x[1] for x in pieces]))
+                for k, (at, own) in enumerate(pieces):
+                    row = kept.take(pa.array([i if k == 0 else None], pa.int64()))  # the row rides with its first chunk
+                    yield pa.RecordBatch.from_arrays([row, pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([k], pa.int32()), pa.array([at], pa.int64()), pa.array([own])], names=["row", "part", "number", "k", "at", "text"])
+                n += 1
 
-    def work(batches):
+    def scan(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                name, k, n, at, text = (column(batch, c)[i].as_py() for c in ("key", "k", "n", "at", "text"))
-                found = encode_chunk(vocabulary, at, text, k == n - 1)
-                yield rows(column(batch, "row").slice(i, 1), key=pa.array([name]), k=pa.array([k], pa.int32()), text=pa.array([text if k == n - 1 else text[:chunk]]), **{c: pa.array([x.astype(np.int64).tobytes()], pa.binary()) for c, x in zip(PARTS, found, strict=True)})
-
-    def fold(parts):
-        whole_rows = pa.concat_arrays([column(p, "row") for p in parts])
-        chunks = {k: (p, i) for p in parts for i, k in enumerate(column(p, "k").to_pylist())}
-        own = [chunks[k] for k in sorted(chunks)]
-        ids = stitch(vocabulary, [tuple(np.frombuffer(column(p, c)[i].as_py(), np.int64) for c in PARTS) for p, i in own], lambda at: "".join(column(p, "text")[i].as_py() for p, i in own)[at:])
-        kept = whole_rows.filter(pa.array([k == 0 for p in parts for k in column(p, "k").to_pylist()]))
-        yield rows(kept, ids=pa.array([ids.astype("<u4").tobytes()] * len(kept), pa.binary()))
-
-    chunks = long.mapInArrow(spread, f"row {row_type}, key string, k int, n int, at long, text string")
-    encoded = chunks.repartition("key", "k").mapInArrow(work, f"row {row_type}, key string, k int, text string, marks binary, ids binary, tokens_at binary")
-    joined = grouped(encoded, ["key"], f"row {row_type}, ids binary", fold)
+                at, text = column(batch, "at")[i].as_py(), column(batch, "text")[i].as_py()
+                marks = boundaries(text) + at
+                left, right = marks[(marks > at) & (marks <= at + overlap)], marks[marks >= at + chunk]
+                one = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([left.tolist()], pa.list_(pa.int64())), pa.array([right.tolist()], pa.list_(pa.int64()))], names=[*one.schema.names, "left", "right"])
+
+    key = ["part", "number"]
+    # written, so that a text keeps its number whatever is computed anew
+    chunks = written(long.mapInArrow(spread, f"row {row_type}, part int, number int, k int, at long, text string"), "chunks")
+    scanned = chunks.repartition(*key, "k").mapInArrow(scan, f"row {row_type}, part int, number int, k int, at long, text string, left array<long>, right array<long>")
+    order = Window.partitionBy(*key).orderBy("k")
+    begin = F.when(F.col("k") > 0, F.array_min(F.array_intersect(F.lag("right").over(order), "left"))).otherwise(0)
+    opened = scanned.withColumn("begin", begin).withColumn("next", F.lead("begin").over(order)).withColumn("more", F.lead("k").over(order).isNotNull())
+    # a chunk gives its piece the characters up to the stitch with the next, or up to where the next one's own begin
+    end = F.coalesce("next", F.when(F.col("more"), F.col("at") + chunk))
+    start = F.coalesce("begin", "at")
+    own = F.when(end.isNull(), F.substring("text", start - F.col("at") + 1, F.length("text"))).otherwise(F.substring("text", start - F.col("at") + 1, end - start))
+    piece = F.sum(F.col("begin").isNotNull().cast("int")).over(order)
+    pieces = opened.select("row", *key, "k", piece.alias("piece"), own.alias("text"))
+
+    def fold_piece(parts):
+        texts = "".join(t for p in parts for t in texts_of(p, "text"))
+        first = parts[0].slice(0, 1)
+        yield pa.RecordBatch.from_arrays([column(first, c) for c in ("row", *key, "piece")] + [pa.array([ids_of(vocabulary, texts).tobytes()], pa.binary())], names=["row", *key, "piece", "ids"])
+
+    def fold_text(parts):
+        first = parts[0].slice(0, 1)
+        yield pa.RecordBatch.from_arrays([column(first, "row"), pa.array([b"".join(x for p in parts for x in column(p, "ids").to_pylist())], pa.binary())], names=["row", "ids"])
+
+    encoded = grouped(pieces, [*key, "piece"], f"row {row_type}, part int, number int, piece long, ids binary", fold_piece, ["k"])
+    joined = grouped(encoded, key, f"row {row_type}, ids binary", fold_text, ["piece"])
     return direct.unionByName(joined.select("row.*", "ids").select(*others, "ids"))
 
 

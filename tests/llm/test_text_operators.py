@@ -189,20 +189,22 @@ def test_bpe(spark, docs, vocabulary):
     for r in both:
         assert np.frombuffer(r["ids"], "<u4").tolist() == e.encode_ordinary(texts[r.doc_id] or "") and r.kept == r.doc_id
         assert bytes(r.decoded).decode() == (texts[r.doc_id] or "")
-    same = spark.createDataFrame([(7, "it's a b c " * 300), (7, "it's a b c " * 300), (8, "it's a b c " * 300)], "doc_id long, text string")
-    assert [r.doc_id for r in bpe.encode(same, vocabulary, chunk=100, overlap=40).orderBy("doc_id").collect()] == [7, 7, 8]
+    long = "it's a b c " * 300
+    same = spark.createDataFrame([(7, long), (7, long), (8, long), (None, long), (None, long)], "doc_id long, text string").repartition(1)
+    rows = bpe.encode(same, vocabulary, chunk=100, overlap=40).collect()
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 0, 7, 7, 8] and {bytes(r["ids"]) for r in rows} == {np.array(e.encode_ordinary(long), "<u4").tobytes()}
     assert bpe.digests(frame.limit(0)).collect() == []
 
 
-def test_bpe_chunks_meet_anywhere(vocabulary):
+def test_bpe_chunks_meet_anywhere(spark, vocabulary):
     rng = random.Random(5)
-    alphabet = list("ab  \n'sré1!?漢😀") + ["'re", "   ", " don't", "\r\n\r\n"]
+    alphabet = list("ab  \n'sré1!?漢😀") + ["'re", "   ", " don't", "\r\n\r\n", " " * 30, "x" * 60]
     e = bpe.encoding(vocabulary)
-    for _ in range(150):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 400)))
-        pieces = bpe.cut(text, 40, 12)
-        parts = [bpe.encode_chunk(vocabulary, at, t, k == len(pieces) - 1) for k, (at, t) in enumerate(pieces)]
-        assert bpe.stitch(vocabulary, parts, lambda at, text=text: text[at:]).tolist() == e.encode_ordinary(text)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 400))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk, overlap in ((40, 12), (64, 64), (7, 1)):
+        got = {r.doc_id: np.frombuffer(r["ids"], "<u4").tolist() for r in bpe.encode(frame, vocabulary, chunk=chunk, overlap=overlap).collect()}
+        assert got == {i: e.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
 def test_token_files(spark, docs, tmp_path):
