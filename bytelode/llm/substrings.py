@@ -1,20 +1,27 @@
 """Substring deduplication on a compacted De Bruijn graph of words.
 
-Every run of ``window`` consecutive words of a document is an edge of the graph. Edges are keyed by their
-minimizer, the smallest hash among the ``anchor``-word runs inside, so equal edges meet under one key.
-Consecutive edges of a document with one minimizer are taken together from the start as a path piece
-(start, length, hash of all its words). Pieces that repeat whole are compacted: one group by (minimizer, hash)
-keeps the first coordinate. Only under minimizers where different pieces meet, so where the graph may
-branch, is the first copy of each piece opened into its single edges; these are hashed twice with 64 bits
-from the words at the source coordinates, and again the first coordinate wins. An edge that starts
-elsewhere, earlier, removes the words it covers.
-
-Coordinates order by (id, first word); a null id comes first. Documents with fewer words than the window,
-null and empty texts keep all they have. Rows that share an id count as one document: neither comes before
-the other at one place, and spans found in one are removed from all of them. A column of the input named
-like a result column gives way to it.
-
-All joins deal rows by hashes or ids, and none is followed by work that needs its rows in place, so that
+Nodes are runs of ``window`` - 1 words; every run of ``window`` words of a document is an edge between two of them.
+Edges carry the minimizer, the smallest hash among the ``anchor``-word runs inside, so equal edges have equal ones.
+Consecutive edges of a document under one minimizer are taken together from the start as a path (first word, edges,
+hash of all its words, and the path that comes next). Then, in joins and groups:
+
+* Paths are grouped by (minimizer, hash); one that repeats keeps its first coordinate, its count and, if it is the same
+  wherever the path stands, its next path.
+* Where a path's only next path stands as often as it does, no node between the two branches. These pairs are found by
+  a join; runs of them, lined up by their first coordinates, are compacted to one long path, and copies of its first
+  part stand for copies of the whole.
+* Only under minimizers where different paths meet, so where the graph may branch, is the first copy of each path opened
+  into single edges; again the first coordinate wins.
+* Hashes only propose. The words at the first coordinate are read again, as are those at each copy, and a join compares
+  them; copies that differ in words are grouped anew by their words.
+
+What starts elsewhere, earlier, removes the words it covers. Coordinates order by (id, digest of the text, first word); a
+null id comes first. So rows that share an id but not the text are documents of their own, in order of the digest;
+rows equal in both are one document that stands there several times: each keeps or loses the same. Documents
+with fewer words than the window, null and empty texts keep all they have. A column of the input named like a result
+column gives way to it.
+
+All joins deal rows by hashes or coordinates, and none is followed by work that needs its rows in place, so that
 adaptive execution can split a hot key. Aggregates combine before the shuffle.
 """
 
@@ -22,18 +29,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import add_columns, column
 from ._shared import forget, table, tuned, written
-from ._text import Ranges, Words, flat, grams, i64, slices, spans_to_mask
+from ._text import Ranges, Words, flat, grams, i64, mix, slices, spans_to_mask
 
 WINDOW, ANCHOR = 20, 8
+#: A row of the documents: its id and the digest of its text.
+ROW = ["id", "digest"]
 
 
 def pieces_of(words: Words, h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Path pieces of a flat sequence: row, first word, edges, minimizer, hash."""
+    """Paths of a flat sequence: row, first word, edges, minimizer, hash."""
     n = len(h) - window + 1
     if n <= 0:
         return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
@@ -54,72 +63,146 @@ def pieces_of(words: Words, h: np.ndarray, window: int, anchor: int) -> tuple[np
     return row[opens], start, edges, best[start], Ranges(h).hash(start, start + edges - 1 + window)
 
 
-def path_pieces(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, text) of each row."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+
+
+def paths(rows: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(minimizer, h, next, id, digest, at, edges): next is a hash of the following path of the row, null at its end."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
-                words = Words(*flat(column(part, text_col)))
+            for part in slices(batch, "text"):
+                words = Words(*flat(column(part, "text")))
                 row, start, edges, key, h = pieces_of(words, words.hashes(), window, anchor)
-                yield pa.RecordBatch.from_arrays([i64(key), i64(h), column(part, id_col).take(pa.array(row)), pa.array(start - words.first[row], pa.int32()), pa.array(edges, pa.int32())], names=["minimizer", "h", "id", "at", "edges"])
+                own = i64(mix(key ^ mix(h)))
+                follows = np.concatenate([row[1:] == row[:-1], [False]]) if len(row) else np.zeros(0, bool)
+                following = pa.array(np.asarray(own)[np.minimum(np.arange(len(row)) + 1, max(len(row) - 1, 0))], mask=~follows)
+                yield pa.RecordBatch.from_arrays([i64(key), i64(h), own, following, *(column(part, c).take(pa.array(row)) for c in ROW), pa.array(start - words.first[row], pa.int32()), pa.array(edges, pa.int32())], names=["minimizer", "h", "path", "next", *ROW, "at", "edges"])
+
+    return rows.mapInArrow(run, f"minimizer long, h long, path long, next long, id {kind}, digest long, at int, edges int")
+
+
+def joined_to_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of documents, distinct, with what is wanted of them (id, digest, ...), null ids included."""
+    other = wanted.withColumnsRenamed({c: f"__{c}" for c in ROW})
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
+    return rows.join(other, same).drop("__id", "__digest")
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"minimizer long, h long, id {kind}, at int, edges int")
 
+def per_row(frame: DataFrame, *fields: str) -> DataFrame:
+    """(id, digest, wanted): what lies in each row of the documents, every place once; at most one for each word."""
+    return frame.groupBy(*ROW).agg(F.collect_set(F.struct(*fields)).alias("wanted"))
 
-def open_edges(docs: DataFrame, pieces: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """The edges of ``pieces`` (id, at, edges), hashed from their words."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    wanted = pieces.groupBy("id").agg(F.collect_list(F.struct("at", "edges")).alias("pieces"))
-    own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    joined = own.join(wanted, F.col("doc").eqNullSafe(F.col("id"))).select("id", "text", "pieces")
+
+def single_edges(rows: DataFrame, opened: DataFrame, window: int) -> DataFrame:
+    """(h, g, id, digest, at): the edges of paths (id, digest, at, edges), hashed twice from their words."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(*flat(column(part, "text")))
-                own = column(part, "pieces")
-                off = np.asarray(own.offsets)
-                row = np.repeat(np.arange(len(own)), np.diff(off))
-                flat_own = own.flatten()
-                at, edges = np.asarray(flat_own.field("at")).astype(np.int64), np.asarray(flat_own.field("edges")).astype(np.int64)
+                own = column(part, "wanted")
+                row = np.repeat(np.arange(len(own)), np.diff(np.asarray(own.offsets)))
+                at, edges = (np.asarray(own.flatten().field(c)).astype(np.int64) for c in ("at", "edges"))
                 which = np.repeat(np.arange(len(at)), edges)
                 start = at[which] + np.arange(len(which)) - np.repeat(np.cumsum(edges) - edges, edges)
                 row = row[which]
-                # rows that share an id may differ in text: only places that exist
-                fits = start + window <= words.count[row]
-                start, row = start[fits], row[fits]
                 place = words.first[row] + start
                 two = [Ranges(words.hashes(seed)).hash(place, place + window) for seed in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*map(i64, two), column(part, "id").take(pa.array(row)), pa.array(start, pa.int32())], names=["h1", "h2", "id", "at"])
+                yield pa.RecordBatch.from_arrays([*map(i64, two), *(column(part, c).take(pa.array(row)) for c in ROW), pa.array(start, pa.int32())], names=["h", "g", *ROW, "at"])
+
+    return joined_to_rows(rows, per_row(opened, "at", "edges")).mapInArrow(run, f"h long, g long, id {kind}, digest long, at int")
+
+
+def words_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (id, digest, at, n, key) with ``words``, the n words from there, joined by one space."""
+    kind = rows.schema["id"].dataType.simpleString()
 
-    return joined.mapInArrow(run, f"h1 long, h2 long, id {kind}, at int")
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for i, (text, own) in enumerate(zip(column(part, "text").to_pylist(), column(part, "wanted").to_pylist(), strict=True)):
+                    words = text.encode().split()
+                    for low in range(0, len(own), 256):
+                        some = own[low : low + 256]
+                        one = pa.array([i] * len(some))
+                        yield pa.RecordBatch.from_arrays([*(column(part, c).take(one) for c in ROW), pa.array([w["at"] for w in some], pa.int32()), pa.array([w["n"] for w in some], pa.int32()), pa.array([w["key"] for w in some], pa.string()), pa.array([b" ".join(words[w["at"] : w["at"] + w["n"]]) for w in some], pa.binary())], names=[*ROW, "at", "n", "key", "words"])
+
+    return joined_to_rows(rows, per_row(places, "at", "n", "key")).mapInArrow(run, f"id {kind}, digest long, at int, n int, key string, words binary")
+
+
+def place(*prefix: str) -> Column:
+    return F.struct(*(F.col(f"{'.'.join(prefix)}.{c}" if prefix else c) for c in (*ROW, "at")))
+
+
+def compacted(repeated: DataFrame) -> DataFrame:
+    """Long paths (minimizer, h, path, first, edges) of repeated ones (and n, next): of a run without branches only the
+    first part is left, with the edges of all."""
+    before = repeated.where("next IS NOT NULL").select(F.col("next").alias("path"), F.col("n").alias("n_before"))
+    # a path whose only next one is this, and stands as often
+    inner = written(repeated.join(before, "path").where("n = n_before").select("path").distinct(), "inner-paths", compact=True)
+    marked = repeated.join(inner.withColumn("inner", F.lit(True)), "path", "left")
+    line = Window.partitionBy("first.id", "first.digest").orderBy("first.at")
+    lined = marked.withColumn("run", F.sum(F.col("inner").isNull().cast("int")).over(line))
+    long = lined.groupBy("first.id", "first.digest", "run").agg(F.min_by(F.struct("minimizer", "h", "path", "first"), F.col("first.at")).alias("head"), F.sum("edges").alias("edges"))
+    out = written(long.select("head.*", F.col("edges").cast("int").alias("edges")), "long-paths", compact=True)
+    forget(inner)
+    return out
+
+
+def verified(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, digest, at, n), written: the copies (key, id, digest, at, n, first) whose words are those at their first place."""
+    sources = copies.select("key", "first.*", "n").distinct()
+    # rows equal in id and text all have the first place
+    there = written(words_at(rows, sources).groupBy("key").agg(F.first("words").alias("source")), "sources")
+    here = words_at(rows, copies)
+    held = here.join(there, "key").select(*ROW, "at", "n", "key", (F.col("words") == F.col("source")).alias("same"), F.when(F.col("words") != F.col("source"), F.col("words")).alias("other"))
+    held = written(held, "compared")
+    good = held.where("same").select(*ROW, "at", "n")
+    # equal hashes of different words: their own first place counts
+    differ = held.where("NOT same")
+    own_first = differ.groupBy("key", "other").agg(F.min(place()).alias("first"))
+    anew = differ.join(own_first, ["key", "other"]).where(~place().eqNullSafe(F.col("first"))).select(*ROW, "at", "n")
+    out = written(good.unionByName(anew), "verified", compact=True)
+    forget(there, held)
+    return out
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(id, spans): of each document that has any, the spans of words (start, end) that equal words starting earlier."""
-    place = F.struct("id", "at")
-    pieces = path_pieces(docs, id_col, text_col, window, anchor)
-    keys = pieces.groupBy("minimizer").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
-    repeated = written(keys.where("n > 1").select("minimizer", (F.col("low") != F.col("high")).alias("branches")), "minimizers", compact=True)
-    met = written(pieces.join(repeated, "minimizer"), "pieces")
-    first = written(met.groupBy("minimizer", "h", "branches").agg(F.min(F.struct("id", "at", "edges")).alias("first"), F.count("*").alias("n")), "paths", compact=True)
-    copies = met.join(first.where("n > 1").select("minimizer", "h", "first"), ["minimizer", "h"]).where(~(F.struct(F.col("id"), F.col("at")).eqNullSafe(F.struct(F.col("first.id"), F.col("first.at")))))
-    whole = copies.select("id", F.col("at").alias("start"), (F.col("at") + F.col("edges") + (window - 1)).alias("end"))
-    edges = written(open_edges(docs, first.where("branches").select("first.*"), id_col, text_col, window), "edges", compact=True)
-    first_edge = edges.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    """(id, digest, spans), written: of each row that has any, the spans of words (start, end) that equal words starting earlier."""
+    rows = keyed(docs, id_col, text_col)
+    found = paths(rows, window, anchor)
+    keys = found.groupBy("minimizer").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+    shared = written(keys.where("n > 1").select("minimizer", (F.col("low") != F.col("high")).alias("branches")), "minimizers", compact=True)
+    met = written(found.join(shared, "minimizer"), "paths")
+    only_next = F.when((F.count("next") == F.count("*")) & (F.min("next") == F.max("next")), F.min("next"))
+    grouped = met.groupBy("minimizer", "h", "path", "branches").agg(F.min(F.struct(*ROW, "at", "edges")).alias("f"), F.count("*").alias("n"), only_next.alias("next"))
+    grouped = written(grouped.select("minimizer", "h", "path", "branches", place("f").alias("first"), F.col("f.edges").alias("edges"), "n", "next"), "distinct-paths", compact=True)
+    long = compacted(grouped.where("n > 1"))
+    heads = long.select("minimizer", "h", "first", (F.col("edges") + (window - 1)).alias("n"), F.concat(F.lit("p"), F.hex("minimizer"), F.hex("h")).alias("key"))
+    whole = met.select("minimizer", "h", *ROW, "at").join(heads, ["minimizer", "h"]).where(~place().eqNullSafe(F.col("first"))).select("key", *ROW, "at", "n", "first")
+    edges = written(single_edges(rows, grouped.where("branches").select("first.*", "edges"), window), "edges", compact=True)
+    first_edge = edges.groupBy("h", "g").agg(F.min(place()).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
     first_edge = written(first_edge, "first-edges", compact=True)
-    single = edges.join(first_edge, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    spans = written(whole.unionByName(single).groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans", compact=True)
-    forget(repeated, met, first, edges, first_edge)
+    single = edges.join(first_edge, ["h", "g"]).where(~place().eqNullSafe(F.col("first"))).select(F.concat(F.lit("e"), F.hex("h"), F.hex("g")).alias("key"), *ROW, "at", F.lit(window).alias("n"), "first")
+    copies = written(whole.unionByName(single), "copies")
+    forget(shared, met, grouped, long, edges, first_edge)
+    sure = verified(rows, copies)
+    spans = written(per_row(sure.select(*ROW, F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end")), "start", "end").withColumnRenamed("wanted", "spans"), "spans", compact=True)
+    forget(copies, sure)
     return spans
 
 
 def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with ``n_words``, ``removed_spans`` (merged, half-open, in words) and ``kept_text``, the words left joined by one space."""
     tuned(docs.sparkSession)
-    by_row = later_copies(docs, id_col, text_col, window, anchor).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(by_row, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    spans = later_copies(docs, id_col, text_col, window, anchor).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("spans").alias("__spans"))
+    own = docs.withColumn("__own", F.xxhash64(text_col))
+    joined = own.join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left").drop("__id", "__own", "__digest")
 
     def make():
         def run(part: pa.RecordBatch) -> list:
@@ -131,7 +214,7 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     merged.append([])
                     texts.append(b" ".join(words).decode())
                     continue
-                gone = spans_to_mask(len(words), np.minimum([s["start"] for s in spans], len(words)), np.minimum([s["end"] for s in spans], len(words)))
+                gone = spans_to_mask(len(words), np.array([s["start"] for s in spans]), np.array([s["end"] for s in spans]))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 merged.append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
                 texts.append(b" ".join(w for w, out in zip(words, gone.tolist(), strict=True) if not out).decode())

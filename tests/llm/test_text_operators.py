@@ -10,6 +10,8 @@ import public_tokenizers
 import pytest
 from brute import SPACES, bench_words, classes_of, corpus, removed, words
 
+from pyspark.sql import functions as F
+
 from bytelode.llm import bpe, decontaminate, jaccard, licenses, quality, substrings, tokens
 from bytelode.llm._text import Ranges, Words, flat, grams
 
@@ -74,6 +76,50 @@ def test_substrings_edges(spark):
     assert sorted(((r.doc_id or 0), r.kept_text) for r in rows) == [(0, text), (1, ""), (1, ""), (2, "x")]
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    """Rows without id and rows of one id: texts of their own, in order of their digests; equal rows fare alike."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        words_ = [f"u{i}x{k}" for k in range(rng.randint(0, 60))]
+        at = rng.randint(0, len(words_))
+        words_[at:at] = passage[rng.randint(0, 50) :][: rng.randint(0, 70)] * rng.randint(1, 2)
+        rows.append((rng.choice([None, None, 1, 1, 2, i + 3]), " ".join(words_)))
+    rows += rng.sample(rows, 15)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    digest = {r.text: r.d for r in frame.selectExpr("text", "xxhash64(text) AS d").collect()}
+    order = sorted({(i is not None, i or 0, digest[t], t) for i, t in rows})
+    want = removed({k: x[3] for k, x in enumerate(order)})
+    want = {(i if has else None, t): want[k] for k, (has, i, _, t) in enumerate(order)}
+    got = [(r.doc_id, r.text, (r.n_words, sum(s.end - s.start for s in r.removed_spans), r.kept_text)) for r in substrings.remove_later_copies(frame).collect()]
+    assert len(got) == len(rows) and all(want[i, t] == x for i, t, x in got)
+    assert sum(x[1] > 0 for *_, x in got) > 20
+
+
+def test_substrings_compare_words_not_hashes(spark):
+    """With words that share their hashes only those removed whose words are the same."""
+    same = lambda n: " ".join(f"w{i % 7}" if i else f"first{n}" for i in range(22))
+    texts = {0: same(1), 1: same(2), 2: same(1), 3: same(2), 4: same(3)}
+    rows = substrings.keyed(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text")
+    first = rows.where("id = 0").select(F.struct("id", "digest", F.lit(0).alias("at")).alias("first"))
+    copies = rows.where("id > 0").crossJoin(first).select(F.lit("k").alias("key"), "id", "digest", F.lit(0).alias("at"), F.lit(22).alias("n"), "first")
+    assert sorted(r.id for r in substrings.verified(rows, copies).collect()) == [2, 3]
+
+
+def test_substrings_compact_paths_without_branches(spark):
+    """A passage in many documents is one long path, not one for each minimizer."""
+    passage = " ".join(f"p{i}" for i in range(400))
+    docs = spark.createDataFrame([(i, f"a{i} {passage} z{i}") for i in range(9)] + [(20, "b " + " ".join(passage.split()[:150]))], "doc_id long, text string")
+    found = substrings.paths(substrings.keyed(docs, "doc_id", "text"), 20, 8)
+    only = F.when((F.count("next") == F.count("*")) & (F.min("next") == F.max("next")), F.min("next"))
+    grouped = found.groupBy("minimizer", "h", "path").agg(F.min(F.struct("id", "digest", "at", "edges")).alias("f"), F.count("*").alias("n"), only.alias("next"))
+    repeated = grouped.select("minimizer", "h", "path", F.struct("f.id", "f.digest", "f.at").alias("first"), F.col("f.edges").alias("edges"), "n", "next").where("n > 1")
+    long = substrings.compacted(repeated).collect()
+    total, edges = repeated.agg(F.count("*"), F.sum("edges")).first()
+    assert sum(r.edges for r in long) == edges and len(long) <= 4 < total / 5
+
+
 def by_hand(trees, x):
     """The chance of one row, node by node."""
 
