@@ -2,24 +2,33 @@
 
 A document's set holds the hashes of its ``shingle``-word runs (words are runs of digits, letters and non-ASCII
 characters, A-Z lower-cased; a text of fewer words, but not none, is one shingle). Equal sets are one node from the
-start.
-
-Each of ``runs`` runs starts from ``CHOICES`` sampled coordinates of a minhash signature: nodes that share the
-sampled token (the minimum there) share a bucket. A bucket of more than ``limit`` nodes chooses, by its own hash,
-``CHOICES`` further coordinates and splits again, until it is small or hardly shrinks (its nodes are then alike).
-Small buckets are compared by brute force on the signatures, loosely; what passes is joined to clusters.
-Within each cluster all pairs are compared exactly, on whole sets, in blocks of ``BLOCK`` nodes, so that no task
-holds more than two blocks and nothing is emitted for a pair. A pair of the least similarity t survives a run with
-probability s = 1 - (1 - t s')^2 over its depth, 0.94 at t = 0.8 however deep; runs are repeated until the chance
-that all fail is below 1 - ``recall``.
-
-Documents without words and rows without id have no links and are classes of their own. Rows that share an id count
-as one document: their classes are one. Extra columns are kept; one named like a result column gives way to it.
+start, named by a 128-bit hash of the set.
+
+Each of several runs starts from sampled coordinates of a minhash signature: nodes that share the sampled token (the
+minimum there) share a bucket. A bucket of more than ``limit`` nodes chooses, by its own hash, further coordinates among
+those of its run and level, which no other run uses, and splits again. When the coordinates of all levels are used up,
+fresh ones are drawn. A bucket is done when it is small, or when it keeps ``ALIKE`` of the bucket before it: then most
+of its pairs are links, and are compared because they are to be counted.
+
+In small buckets signatures are compared by brute force, loosely; nodes that this connects are a group, and the same
+group from several buckets is one. The nodes of a bucket that is done by likeness are a group as well. In each
+group all pairs are compared exactly, on whole sets, in blocks of bounded items, so that no task holds more than two
+blocks and nothing is emitted for a pair. A pair that several groups hold counts in the first of them only: each node
+brings the list of its groups. Links connect classes.
+
+With c choices a pair of the least similarity t survives a run with the probability s = 1 - (1 - t s)^c of its depth;
+c is chosen so that c t is at least 1.5, and runs are repeated until the chance that all fail is below 1 - ``recall``.
+(Tests measure recall in deep buckets.)
+
+Every row is a document of its own, whatever its id. Documents without words and rows without id have no links and are
+classes of their own. Columns other than the id and the text are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -33,19 +42,24 @@ from ._text import Ranges, grams, i64, mix, odd_constants, plain_words, slices
 from .components import connected_components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
-CHOICES = 2
-#: Coordinates that a level below the first chooses among, and such levels.
-LEVEL, LEVELS = 7, 8
-LIMIT, BLOCK = 128, 128
-#: A part that keeps this share of its bucket is taken for alike.
+#: Coordinates that buckets of one run and level choose among, and levels before fresh ones are drawn.
+LEVEL, LEVELS = 5, 6
+#: Nodes of a small bucket; nodes and items of a block.
+LIMIT, BLOCK, BLOCK_ITEMS = 128, 256, 1 << 20
+#: A part that keeps this share of its bucket is compared as it is.
 ALIKE = 0.7
 COLUMNS_AT_ONCE, ITEMS_AT_ONCE = 8192, 1 << 20
+NODE = "binary"
+
+
+def choices_for(similarity: float) -> int:
+    return max(2, math.ceil(1.5 / similarity))
 
 
 def runs_for(similarity: float, recall: float) -> int:
-    s = 1.0
-    for _ in range(LEVELS + 1):
-        s = 1 - (1 - similarity * s) ** CHOICES
+    s, c = 1.0, choices_for(similarity)
+    for _ in range(100):
+        s = 1 - (1 - similarity * s) ** c
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - s)))
 
 
@@ -63,11 +77,12 @@ def sets_of(col: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, runs: int) -> DataFrame:
-    """(id, n, f1, f2, minhash, roots): size and fingerprint of the set, signature, and first buckets."""
-    roots = runs * CHOICES
-    width = roots + LEVEL * LEVELS
-    a, b = odd_constants(width, 11), odd_constants(width, 13)
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, runs: int, choices: int, epoch: int = 0) -> DataFrame:
+    """(id, digest, node, n, minhash, roots) of rows with words: digest of the text, size of the set, signature and first
+    buckets. Epochs have different coordinates."""
+    roots = runs * choices
+    width = roots + runs * LEVEL * LEVELS
+    a, b, c = odd_constants(width, 11 + 100 * epoch), odd_constants(width, 13 + 100 * epoch), odd_constants(2, 17)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -78,58 +93,62 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, runs:
                 size = np.diff(off)[some]
                 at = off[:-1][some]
                 sig = np.empty((len(some), width), np.uint32)
-                prints = []
+                prints = np.empty((len(some), 2), np.uint64)
                 if len(some):
                     for j in range(width):
                         sig[:, j] = np.minimum.reduceat((g * a[j] + b[j]) >> np.uint64(32), at)
-                    prints = [np.add.reduceat(mix(g * c), at) for c in a[:2]]
-                else:
-                    prints = [np.zeros(0, np.uint64)] * 2
+                    for k in range(2):
+                        prints[:, k] = np.add.reduceat(mix(g * c[k]), at)
                 first = mix(sig[:, :roots].astype(np.uint64) ^ (np.arange(1, roots + 1, dtype=np.uint64) << np.uint64(40)))
+                rows = pa.array(some)
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, id_col).take(pa.array(some)), pa.array(size), *map(i64, prints), pa.array([x.tobytes() for x in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * roots, pa.int32()), i64(first.ravel()))],
-                    names=["id", "n", "f1", "f2", "minhash", "roots"],
+                    [column(part, "id").take(rows), column(part, "digest").take(rows), pa.array([x.tobytes() for x in prints], pa.binary()), pa.array(size), pa.array([x.tobytes() for x in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * roots, pa.int32()), i64(first.ravel()))],
+                    names=["id", "digest", "node", "n", "minhash", "roots"],
                 )
 
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, minhash binary, roots array<long>")
-
+    return keyed(docs, id_col, text_col).mapInArrow(run, f"id {kind}, digest long, node {NODE}, n long, minhash binary, roots array<long>")
 
-def split(rows: DataFrame, level: int, runs: int) -> DataFrame:
-    """The parts of buckets (bucket, id, size, minhash) by the coordinates that each chooses."""
-    base = runs * CHOICES + (level - 1) * LEVEL
-    kind = rows.schema["id"].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            node = np.asarray(column(batch, "bucket")).view(np.uint64)
-            sig = np.frombuffer(b"".join(column(batch, "minhash").to_pylist()), np.uint32).reshape(len(node), -1)
-            own = mix(node.copy())
-            one = (own % np.uint64(LEVEL)).astype(np.int64)
-            two = (one + 1 + ((own >> np.uint64(32)) % np.uint64(LEVEL - 1)).astype(np.int64)) % LEVEL
-            for choice in (one, two):
-                value = sig[np.arange(len(node)), base + choice].astype(np.uint64)
-                part = mix(node * odd_constants(1, level)[0] + mix(value ^ (choice.astype(np.uint64) << np.uint64(40))))
-                yield pa.RecordBatch.from_arrays([i64(part), column(batch, "id"), column(batch, "size")], names=["bucket", "id", "parent"])
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, text) of rows that have an id."""
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col))
 
-    return rows.select("bucket", "id", "size", "minhash").mapInArrow(run, f"bucket long, id {kind}, parent long")
 
+def split(rows: DataFrame, level: int, runs: int, choices: int) -> DataFrame:
+    """The parts of buckets (bucket, run, node, size, minhash) by the coordinates that each chooses; levels count from 1."""
+    base = runs * choices + (level - 1) % LEVELS * runs * LEVEL
 
-def alike_in_bucket(rows: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) from each node of a small bucket to the first of those that it resembles by signature."""
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def fold(parts):
-        ids = pa.concat_arrays([column(p, "id") for p in parts])
-        sig = np.frombuffer(b"".join(x for p in parts for x in column(p, "minhash").to_pylist()), np.uint32).reshape(len(ids), -1)
+    def run(batches):
+        for batch in batches:
+            bucket = np.asarray(column(batch, "bucket")).view(np.uint64)
+            own = np.asarray(column(batch, "run")).astype(np.int64)
+            sig = np.frombuffer(b"".join(column(batch, "minhash").to_pylist()), np.uint32).reshape(len(bucket), -1)
+            # the coordinates in an order that the bucket's hash gives; the first ones are its choice
+            order = np.argsort(mix(bucket[:, None] ^ odd_constants(LEVEL, level)[None, :]), axis=1)
+            for k in range(choices):
+                choice = order[:, k % LEVEL]
+                value = sig[np.arange(len(bucket)), base + own * LEVEL + choice].astype(np.uint64)
+                part = mix(bucket * odd_constants(1, level)[0] + mix(value ^ ((choice + 1).astype(np.uint64) << np.uint64(40))))
+                yield pa.RecordBatch.from_arrays([i64(part), column(batch, "run"), column(batch, "node"), column(batch, "size")], names=["bucket", "run", "node", "parent"])
+
+    return rows.select("bucket", "run", "node", "size", "minhash").mapInArrow(run, f"bucket long, run int, node {NODE}, parent long")
+
+
+def connected_in_bucket(rows: DataFrame, similarity: float) -> DataFrame:
+    """(g, node): groups of nodes of a small bucket that resemble each other by signature, directly or not."""
+
+    def fold(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = [x for p in parts for x in column(p, "node").to_pylist()]
+        sig = np.frombuffer(b"".join(x for p in parts for x in column(p, "minhash").to_pylist()), np.uint32).reshape(len(nodes), -1)
         width = sig.shape[1]
-        least = (similarity - 4 * math.sqrt(similarity * (1 - similarity) / width)) * width
-        near = np.stack([(sig == row).sum(1) for row in sig]) >= least
-        label = closed(near)
-        other = np.flatnonzero(label != np.arange(len(ids)))
-        if len(other):
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(other)), ids.take(pa.array(label[other]))], names=["a", "b"])
+        least = (similarity - 5 * math.sqrt(similarity * (1 - similarity) / width)) * width
+        label = closed(np.stack([(sig == row).sum(1) for row in sig]) >= least)
+        for k in np.flatnonzero(np.bincount(label) > 1).tolist():
+            own = sorted(nodes[i] for i in np.flatnonzero(label == k).tolist())
+            g = int.from_bytes(hashlib.blake2b(b"".join(own), digest_size=8).digest(), "little", signed=True)
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(own), pa.int64()), pa.array(own, pa.binary())], names=["g", "node"])
 
-    return grouped(rows.select("bucket", "id", "minhash"), ["bucket"], f"a {kind}, b {kind}", fold)
+    return grouped(rows.select("bucket", "node", "minhash"), ["bucket"], f"g long, node {NODE}", fold)
 
 
 def closed(near: np.ndarray) -> np.ndarray:
@@ -144,82 +163,106 @@ def closed(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def clusters(nodes: DataFrame, similarity: float, runs: int, limit: int) -> DataFrame:
-    """(id, label): clusters outside of which no node has a similar one, up to the recall."""
-    rows = nodes.select(F.explode("roots").alias("bucket"), "id", F.lit(None).cast("long").alias("parent"))
-    found: list[DataFrame] = []
-    small: list[DataFrame] = []
-    held: list[DataFrame] = []
-    for level in range(1, LEVELS + 2):
-        sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.max("parent").alias("parent"), F.min("id").alias("first")).where("size > 1"), "buckets")
+def groups_of(nodes: DataFrame, similarity: float, runs: int, choices: int, limit: int, fresh) -> DataFrame:
+    """(g, node), written: groups that hold all similar pairs, up to the recall. fresh(epoch): (node, minhash) with
+    coordinates that no epoch before had."""
+    roots = nodes.select(F.posexplode("roots").alias("k", "bucket"), "node")
+    rows = roots.select("bucket", F.floor(F.col("k") / choices).cast("int").alias("run"), "node", F.lit(None).cast("long").alias("parent"))
+    minhash, alike_groups, leaves, held, level = nodes.select("node", "minhash"), [], [], [], 1
+    while True:
+        sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.max("parent").alias("parent")).where("size > 1"), "buckets")
         met = written(rows.drop("parent").join(sizes, "bucket"), "bucketed")
         held += [sizes, met]
-        small.append(met.where(F.col("size") <= limit).select("bucket", "id"))
+        leaves.append(met.where(F.col("size") <= limit).select("bucket", "node"))
         large = met.where(F.col("size") > limit)
         if sizes.where(F.col("size") > limit).isEmpty():
             break
-        alike = F.coalesce(F.col("size") >= ALIKE * F.col("parent"), F.lit(False)) if level <= LEVELS else F.lit(True)
-        found.append(large.where(alike).select(F.col("id").alias("a"), F.col("first").alias("b")))
-        if level > LEVELS:
-            break
+        alike = F.coalesce(F.col("size") >= ALIKE * F.col("parent"), F.lit(False))
+        alike_groups.append(large.where(alike).select(F.col("bucket").alias("g"), "node"))
+        if level > 1 and (level - 1) % LEVELS == 0:
+            minhash = fresh((level - 1) // LEVELS)
+            held.append(minhash)
         # written, as both the sizes and the join with them read it
-        rows = written(split(large.where(~alike).join(nodes.select("id", "minhash"), "id"), level, runs), "parts")
+        rows = written(split(large.where(~alike).join(minhash, "node"), level, runs, choices), "parts")
         held.append(rows)
-    leaves = small[0]
-    for x in small[1:]:
-        leaves = leaves.unionByName(x)
-    edges = alike_in_bucket(leaves.join(nodes.select("id", "minhash"), "id"), similarity)
-    for x in found:
-        edges = edges.unionByName(x)
-    edges = written(edges, "similar")
+        level += 1
+    small = leaves[0]
+    for x in leaves[1:]:
+        small = small.unionByName(x)
+    out = connected_in_bucket(small.join(nodes.select("node", "minhash"), "node"), similarity)
+    for x in alike_groups:
+        out = out.unionByName(x)
+    out = written(out.distinct(), "groups")
     forget(*held)
-    return connected_components(edges)
+    return out
 
 
-def compared(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block: int) -> DataFrame:
-    """Exact links inside the clusters of ``members`` (id, label, size, copies).
+def compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text_col: str, shingle: int, similarity: float, block: int, block_items: int) -> DataFrame:
+    """Exact links inside the groups. docs: (id, digest, text); nodes: (node, rep, n, copies), rep an id and digest.
 
-    Rows (id, root, links, texts): of one comparison of blocks, the first node it is joined to, the documents it links
+    Rows (node, root, links, texts): of one comparison of blocks, the first node it is joined to, the documents it links
     to and the different sets among them.
     """
     t = Fraction(similarity).limit_denominator(10_000)
-    kind = docs.schema[id_col].dataType.simpleString()
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(members, "id")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    joined = joined.select("id", "text", "label", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
+    sizes = groups.join(nodes.select("node", "n"), "node").groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_items)).cast("int").alias("blocks"))
+    sizes = written(sizes, "group-sizes")
+    own = groups.join(sizes, "g").groupBy("node").agg(F.collect_list(F.struct("g", "blocks")).alias("groups"))
+    live = written(own.join(nodes.select("node", "rep", "copies"), "node").select("node", "rep.*", "groups", "copies"), "live")
+
+    def make_sets(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                g, off = sets_of(column(part, text_col), shingle)
+                yield pa.RecordBatch.from_arrays([column(part, "node"), pa.array([g[off[r] : off[r + 1]].tobytes() for r in range(part.num_rows)], pa.binary())], names=["node", "items"])
+
+    # rows equal in id and text all have a node's set; one is enough
+    sets = docs.join(live.select("node", "id", "digest"), ["id", "digest"]).select("node", text_col).mapInArrow(make_sets, f"node {NODE}, items binary").dropDuplicates(["node"])
+    joined = sets.join(live.select("node", "groups", "copies"), "node")
 
     def spread(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                g, off = sets_of(column(part, "text"), shingle)
-                blocks, own = np.asarray(column(part, "blocks")), np.asarray(column(part, "own"))
-                for r in range(part.num_rows):
-                    n, k = int(blocks[r]), int(own[r])
-                    other = np.arange(n)
-                    one = pa.array(np.zeros(n, np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [column(part, "label").slice(r, 1).take(one), pa.array(np.minimum(other, k), pa.int32()), pa.array(np.maximum(other, k), pa.int32()), column(part, "id").slice(r, 1).take(one), pa.array(np.full(n, k), pa.int32()), column(part, "copies").slice(r, 1).take(one), pa.array([g[off[r] : off[r + 1]].tobytes()] * n, pa.binary())],
-                        names=["label", "i", "j", "id", "own", "copies", "items"],
-                    )
+            for r in range(batch.num_rows):
+                node, groups_ = column(batch, "node")[r].as_py(), column(batch, "groups")[r].as_py()
+                items, copies = column(batch, "items").slice(r, 1), column(batch, "copies").slice(r, 1)
+                number = int.from_bytes(node[:8], "little")
+                for x in groups_:
+                    g, n = x["g"], x["blocks"]
+                    k = (number ^ (g & (1 << 63) - 1)) % n
+                    before = [y["g"] for y in groups_ if y["g"] < g]
+                    # a few rows at a time: each holds the whole set
+                    for low in range(0, n, 8):
+                        other = np.arange(low, min(n, low + 8))
+                        one = pa.array(np.zeros(len(other), np.int64))
+                        m = len(other)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([g] * m, pa.int64()), pa.array(np.minimum(other, k), pa.int32()), pa.array(np.maximum(other, k), pa.int32()), pa.array([node] * m, pa.binary()), pa.array(np.full(m, k), pa.int32()), copies.take(one), pa.array([before] * m, pa.list_(pa.int64())), items.take(one)],
+                            names=["g", "i", "j", "node", "own", "copies", "before", "items"],
+                        )
 
     def fold(parts):
-        ids = pa.concat_arrays([column(p, "id") for p in parts])
-        own = np.concatenate([np.asarray(column(p, "own")) for p in parts])
-        copies = np.concatenate([np.asarray(column(p, "copies")) for p in parts])
-        sets = [np.frombuffer(x, np.uint64) for p in parts for x in column(p, "items").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        shared = overlaps(sets)
-        near = (t.numerator + t.denominator) * shared >= t.numerator * (size[:, None] + size[None, :])
+        nodes_ = [x for p in parts for x in column(p, "node").to_pylist()]
+        own, copies = (np.concatenate([np.asarray(column(p, c)) for p in parts]) for c in ("own", "copies"))
+        sets_ = [np.frombuffer(x, np.uint64) for p in parts for x in column(p, "items").to_pylist()]
+        size = np.array([len(x) for x in sets_])
+        near = (t.numerator + t.denominator) * overlaps(sets_) >= t.numerator * (size[:, None] + size[None, :])
         np.fill_diagonal(near, False)
         if own.min() != own.max():
             near &= own[:, None] != own[None, :]
-        label = closed(near)
+        before = [x for p in parts for x in column(p, "before").to_pylist()]
+        if near.any() and any(before):
+            # pairs that an earlier group holds as well count there
+            numbers = {g: k for k, g in enumerate(sorted({g for x in before for g in x}))}
+            held = [np.array(sorted(numbers[g] for g in x), np.uint64) for x in before]
+            near &= overlaps(held) == 0
         some = np.flatnonzero(near.any(1))
         if len(some):
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), ids.take(pa.array(label[some])), pa.array((near @ copies)[some].astype(np.int64)), pa.array(near.sum(1)[some].astype(np.int64))], names=["id", "root", "links", "texts"])
+            label = closed(near)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes_[i] for i in some], pa.binary()), pa.array([nodes_[label[i]] for i in some], pa.binary()), pa.array((near @ copies)[some].astype(np.int64)), pa.array(near.sum(1)[some].astype(np.int64))], names=["node", "root", "links", "texts"])
 
-    rows = joined.mapInArrow(spread, f"label {kind}, i int, j int, id {kind}, own int, copies long, items binary")
-    return grouped(rows, ["label", "i", "j"], f"id {kind}, root {kind}, links long, texts long", fold)
+    rows = joined.mapInArrow(spread, f"g long, i int, j int, node {NODE}, own int, copies long, before array<long>, items binary")
+    links = written(grouped(rows, ["g", "i", "j"], f"node {NODE}, root {NODE}, links long, texts long", fold), "links")
+    forget(sizes, live)
+    return links
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -227,6 +270,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
     Ranges of hashes are taken one after the other, so that the room this takes doesn't grow with the sets.
     """
+    if not sum(map(len, sets)):
+        return np.zeros((len(sets), len(sets)), np.int64)
     if len(sets) == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
         return np.array([[0, both], [both, 0]])
@@ -262,33 +307,37 @@ def _shared_items(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
-    """(id_col, class_id, n_links, n_copies) for each row of ``docs``.
+def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(id_col, digest, class_id, class_digest, n_links, n_copies) for each row of ``docs``; digest is xxhash64 of the text.
 
-    class_id: the smallest id that the document is linked to, directly or not. n_links: the other documents of at least
-    the similarity, exact copies included. n_copies: the documents with its very set, itself included.
+    class_id: the smallest id among the rows that the row is linked to, directly or not, and class_digest the smallest
+    digest among those of that id; the two together name the class. n_links: the other rows of at
+    least the similarity, exact copies included. n_copies: the rows with its very set, itself included.
     """
     tuned(docs.sparkSession)
-    runs = runs_for(similarity, recall)
-    marked = written(signatures(docs, id_col, text_col, shingle, runs), "signatures")
-    nodes = written(marked.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("minhash").alias("minhash"), F.first("roots").alias("roots"), F.count("*").alias("copies")), "nodes")
-    found = clusters(nodes, similarity, runs, limit)
-    sizes = written(found.groupBy("label").agg(F.count("*").alias("size")), "cluster-sizes")
-    members = written(found.join(sizes, "label").join(nodes.groupBy("id").agg(F.sum("copies").alias("copies")), "id"), "members")
-    forget(sizes)
-    links = written(compared(docs, members, id_col, text_col, shingle, similarity, block), "links")
-    forget(members)
-    classes = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    linked = links.groupBy("id").agg(F.sum("links").alias("links"))
-    graph = nodes.select("f1", "f2", "n", "id", "copies").join(classes, "id", "left").join(linked, "id", "left")
-    graph = written(graph.select("f1", "f2", "n", F.coalesce("label", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies")), "graph")
-    forget(nodes, links)
-    rows = marked.select("id", "f1", "f2", "n").join(graph, ["f1", "f2", "n"]).select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
+    runs, choices = runs_for(similarity, recall), choices_for(similarity)
+    marked = written(signatures(docs, id_col, text_col, shingle, runs, choices), "signatures")
+    nodes = written(marked.groupBy("node").agg(F.min(F.struct("id", "digest")).alias("rep"), F.first("n").alias("n"), F.first("minhash").alias("minhash"), F.first("roots").alias("roots"), F.count("*").alias("copies")), "nodes")
+
+    def fresh(epoch: int) -> DataFrame:
+        again = signatures(docs, id_col, text_col, shingle, runs, choices, epoch)
+        return written(again.groupBy("node").agg(F.first("minhash").alias("minhash")), "signatures")
+
+    groups = groups_of(nodes, similarity, runs, choices, limit, fresh)
+    links = compared(keyed(docs, id_col, text_col), nodes, groups, text_col, shingle, similarity, block, block_items)
+    classes = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = links.groupBy("node").agg(F.sum("links").alias("links"))
+    graph = nodes.select("node", "rep", "copies").join(classes.withColumnRenamed("id", "node"), "node", "left").join(linked, "node", "left")
+    graph = written(graph.select("node", "rep", F.coalesce("label", "node").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies")), "graph")
+    names = written(graph.groupBy("label").agg(F.min("rep").alias("first")).select("label", F.col("first.id").alias("class_id"), F.col("first.digest").alias("class_digest")), "classes")
+    named = written(graph.join(names, "label").select("node", "class_id", "class_digest", "n_links", "n_copies"), "named")
+    forget(nodes, groups, links, graph, names)
+    rows = marked.select("id", "digest", "node").join(named, "node").select(F.col("id").alias(id_col), "digest", "class_id", "class_digest", "n_links", "n_copies")
     has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
-    alone = docs.where(F.col(id_col).isNull() | ~has_words).select(id_col, F.col(id_col).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    alone = docs.where(F.col(id_col).isNull() | ~has_words).select(id_col, F.xxhash64(text_col).alias("digest"), F.col(id_col).alias("class_id"), F.xxhash64(text_col).alias("class_digest"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return rows.unionByName(alone)
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``: five-word shingles, similarity of 0.8 or more."""
-    return similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("digest", "class_digest")

@@ -37,7 +37,7 @@ def test_words_and_hashes():
 
 @pytest.fixture(scope="module")
 def joined(docs):
-    return {r.doc_id: r for r in jaccard.similarity_classes(docs[0], block=8, limit=6).collect()}
+    return {r.doc_id: r for r in jaccard.similarity_classes(docs[0], block=8, limit=6, block_items=20_000).collect()}
 
 
 def test_jaccard_join(docs, joined):
@@ -57,8 +57,34 @@ def test_jaccard_overlaps_and_runs(spark, monkeypatch):
     assert jaccard.runs_for(0.8, 0.9999) <= jaccard.runs_for(0.8, 0.999999) and jaccard.runs_for(0.5, 0.99) > jaccard.runs_for(0.9, 0.99)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.similarity_classes(empty).collect() == []
-    rows = jaccard.similarity_classes(spark.createDataFrame([(None, "a b"), (4, "a b"), (4, "a b"), (3, "a b"), (9, None)], "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in rows) == [(0, 0, 0), (3, 3, 2), (4, 3, 2), (4, 3, 2), (9, 9, 0)]
+    rows = jaccard.similarity_classes(spark.createDataFrame([(None, "a b", 1), (4, "a b", 1), (4, "a b", 1), (3, "a b", 1), (9, None, 1)], "doc_id long, text string, class_id int")).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r.n_copies) for r in rows) == [(0, 0, 0, 1), (3, 3, 2, 3), (4, 3, 2, 3), (4, 3, 2, 3), (9, 9, 0, 1)]
+
+
+def test_jaccard_join_of_rows_that_share_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = jaccard.similarity_classes(spark.createDataFrame([(4, text), (4, text + " more"), (5, text), (4, "none of it"), (6, "b " * 400_000)], "doc_id long, text string"), limit=1).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in rows) == [(4, 4, 0, 1), (4, 4, 2, 1), (4, 4, 2, 2), (5, 4, 2, 2), (6, 6, 0, 1)]
+
+
+@pytest.mark.parametrize("similarity, shared", [(0.5, 24), (0.8, 60), (0.9, 120)])
+def test_jaccard_recall_in_deep_buckets(spark, similarity, shared):
+    """Pairs just above the threshold, in buckets far over the limit: all texts share a passage."""
+    rng = random.Random(int(100 * similarity))
+    passage = [f"p{k}" for k in range(shared)]
+    rows, pairs = [], 0
+    for i in range(350):
+        own = [f"o{i}x{k}" for k in range(shared)]
+        rows.append((2 * i, " ".join(passage + own)))
+        # words of the pair's second text are changed from the end until it is just above the threshold
+        both = len(passage + own) - 4
+        n = int(both * (1 - similarity) / (1 + similarity))
+        rows.append((2 * i + 1, " ".join(passage + own[: shared - n] + [f"n{i}x{k}" for k in range(n)])))
+        pairs += 1
+    rng.shuffle(rows)
+    got = {r.doc_id: r for r in jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity, limit=12).collect()}
+    found = sum(got[2 * i].class_id == got[2 * i + 1].class_id == 2 * i for i in range(pairs))
+    assert found >= 0.99 * pairs and all(r.n_links <= 1 for r in got.values())
 
 
 def test_substrings(docs):
