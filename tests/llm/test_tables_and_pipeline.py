@@ -291,3 +291,35 @@ def test_pipeline(spark, tmp_path):
     for i, r in got.items():
         ids = np.array(e.encode_ordinary(kept[i]), "<u4")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(kept[i].encode()).hexdigest())
+
+
+def as_tables(spark, folder, docs, labels=(), items=()):
+    spark.createDataFrame(list(docs), "doc_id long, text string, lang string, source string, n_chars long, kept string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    as_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null and shared ids, null, empty and repeated rows, an extra column whose name clashes."""
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, text), (None, text), (None, None), (3, text), (3, text), (3, other), (4, other + " x"), (5, ""), (5, ""), (6, " ".join(f"b{i}" for i in range(15))), (7, text)]
+    docs = as_tables(spark, tmp_path, [(i, t, None, "s", None, "extra") for i, t in rows], items=[(1, " ".join(f"b{i}" for i in range(12))), (None, None)])
+    sf, show = str(tmp_path), lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == corpus_pipeline.COLUMNS, name
+    # no labels: the base rules decide
+    assert show(stages["quality rules"](spark, docs, sf)) == sorted((r for r in rows if r[1]), key=repr)
+    # one of each class; what has no id or no words stays
+    assert show(stages["near copies"](spark, docs, sf)) == sorted([(None, text), (None, text), (None, None), (3, text), (3, other), (5, ""), (5, ""), rows[9]], key=repr)
+    # equal rows without id come first and keep their words, as one document
+    assert show(stages["repeated passages"](spark, docs, sf)) == sorted([(None, text), (None, text), (None, None), (3, ""), (3, ""), (3, other), (4, "x"), (5, ""), (5, ""), rows[9], (7, "")], key=repr)
+    assert show(stages["benchmark passages"](spark, docs, sf)) == sorted((r for r in rows if r[0] != 6), key=repr)
+    assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in stages["token ids"](spark, docs, sf).collect()) == sorted((i or 0, bool(t)) for i, t in rows)
