@@ -340,50 +340,3 @@ def test_huffman_codes():
     assert (tokens.code_lengths(counts, 20).astype(int) * counts).sum() == sum(depth[i] * int(c) for i, c in enumerate(counts))
 
 
-def test_licenses(spark):
-    rows = [(1, "Some prose.\nReleased under the MIT License.\n\nmore"), (2, "He had lost his driving licence."), (3, None), (4, ""), (5, "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0."), (6, "This work is licensed under the GNU General Public License, version 3."), (6, "Licensed under CC BY 4.0.")]
-    got = {(r.doc_id, r.n_paragraphs): (r.n_triggered, r.n_licensed, r.families) for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1, 3] == (1, 1, "MIT") and got[2, 1] == (1, 0, "") and got[3, 0] == got[4, 0] == (0, 0, "")
-    assert got[5, 2] == (2, 2, "Apache-2.0,CC-BY-NC-4.0") and got[6, 1] == (2, 2, "CC-BY-4.0,GPL-3.0")
-    assert licenses.scan_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-
-
-def test_license_model_on_held_out_sentences():
-    model = licenses.train()
-    texts, y = licenses.examples(99)
-    chances = np.array([model.chances(t) for t in texts])
-    known = y < len(licenses.FAMILIES) - 1
-    assert (chances.argmax(1) == y)[known].mean() > 0.9 and (chances.argmax(1) == y)[~known].mean() > 0.95
-    sure = chances.max(1) >= licenses.THRESHOLD
-    assert (chances.argmax(1) == y)[sure].mean() > 0.97
-
-
-def test_license_scores_in_spark_equal_the_model(spark):
-    text = "Licensed under the Apache License, Version 2.0. Foo"
-    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    p = licenses.train().chances(licenses.words_of(text))
-    assert row.family == licenses.FAMILIES[int(p.argmax())] and abs(row.chance - p.max()) < 1e-4
-
-
-def test_license_notices_in_long_paragraphs(spark):
-    prose = "the old man and the river had no house in the town so that he could not see all of it from the hill where "
-    whole = {"Apache-2.0": licenses.TEMPLATES["Apache-2.0"][1:3] + licenses.TEMPLATES["Apache-2.0"][-2:], "MIT": licenses.TEMPLATES["MIT"][4:], "GPL-3.0": licenses.TEMPLATES["GPL-3.0"][3:7]}
-    texts = {1: (" ".join(whole["Apache-2.0"]), "Apache-2.0"), 2: (" ".join(whole["MIT"]), "MIT"), 3: ("The pictures were taken by the author in the summer. Licensed under CC BY 4.0.", "CC-BY-4.0"), 4: (prose * 20 + licenses.TEMPLATES["CC-BY-4.0"][0] + " " + prose * 20, "CC-BY-4.0")}
-    texts |= {5: (prose * 9 + " ".join(whole["MIT"]) + " " + prose * 9 + "Licensed under CC BY 4.0.", "CC-BY-4.0,MIT"), 6: (prose * 9 + licenses.OTHER[3] + " " + prose * 9, ""), 7: (" ".join(licenses.OTHER), ""), 8: (" ".join(whole["GPL-3.0"]), "GPL-3.0")}
-    texts |= {9: (licenses.TEMPLATES["MIT"][6].upper(), "MIT"), 10: (licenses.TEMPLATES["GPL-3.0"][5], "GPL-3.0")}
-    got = {r.doc_id: (r.n_triggered, r.n_licensed, r.families) for r in licenses.scan_documents(spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")).collect()}
-    assert got == {i: (1, int(bool(f)), f) for i, (_, f) in texts.items()}
-
-
-def test_licenses_without_trigger_words(spark):
-    texts = {1: ("in the Software without restriction, including without limitation the rights", "MIT"), 2: ("Released under Apache 2.0", "Apache-2.0"), 3: ("Available under the terms of MPL 2.0", "MPL-2.0"), 4: ("All rights reserved.", ""), 5: ("and of the, to this.", ""), 6: ("Some software for the river and its old town.", "")}
-    assert not any(t in x.lower() for x, _ in texts.values() for t in licenses.TRIGGERS)
-    frame = spark.createDataFrame([(i, f"{t}\nmore") for i, (t, _) in texts.items()], "doc_id long, text string")
-    got = {r.doc_id: (r.n_paragraphs, r.n_triggered, r.n_licensed, r.families) for r in licenses.scan_documents(frame).collect()}
-    assert got == {i: (2, int(bool(f)), int(bool(f)), f) for i, (_, f) in texts.items()}
-
-
-def test_no_template_is_confirmed_by_function_words():
-    for sentence in [s for own in licenses.TEMPLATES.values() for s in own]:
-        own = licenses.bigrams_of(sentence)
-        assert sum(set(g.split()) <= licenses.FUNCTION_WORDS for g in own) < licenses.CONFIRM * len(own)
