@@ -303,25 +303,38 @@ def train(seed: int = 6, steps: int = 250, rate: float = 5.0, decay: float = 1e-
 
 
 def ngrams_column(words: Column, n: int) -> Column:
-    some = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, some).otherwise(F.array().cast("array<string>"))
+    """The n-grams of an array of words. (No lambda here reads the array from outside: if that is an expression, it would
+    be evaluated anew for each element.)"""
+    if n == 1:
+        return words
+    left = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    return F.zip_with(F.slice(ngrams_column(words, n - 1), 1, left), F.slice(words, n, left), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def has_item(words: Column) -> Column:
-    """Whether a template's item is among the words and bigrams; single words are asked for first, as they are cheap."""
-    parts = sorted({w for i in all_items() for w in i.split()} - FUNCTION_WORDS)
+    """Whether a template's item is among the words and bigrams; the longest word of each is asked for first, which is cheap."""
     items = all_items()
-    return F.exists(words, lambda w: w.isin(parts)) & F.exists(F.concat(words, ngrams_column(words, 2)), lambda g: g.isin(items))
+    parts = sorted({max(set(i.split()) - FUNCTION_WORDS, key=lambda w: (len(w), w)) for i in items})
+    singles = [i for i in items if " " not in i]
+    return F.exists(words, lambda w: w.isin(parts)) & (F.exists(words, lambda w: w.isin(singles)) | F.exists(ngrams_column(words, 2), lambda g: g.isin(items)))
+
+
+def windows(words: Column) -> Column:
+    """The windows of an array of words that have an item."""
+    none = F.array().cast("array<array<string>>")
+
+    def of(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - WINDOW) / STEP), F.lit(0)).cast("int"))
+        return F.when(has_item(w), F.filter(F.transform(starts, lambda i: F.slice(w, i * STEP + 1, WINDOW)), has_item)).otherwise(none)
+
+    # the lambda's variable holds the words, whatever expression they come from
+    return F.flatten(F.transform(F.array(words), of))
 
 
 def pieces(docs: DataFrame, text_col: str) -> DataFrame:
     """(digest, paragraph, piece) of pieces that a template could confirm; piece: its words, joined by one space."""
     blocks = docs.select(F.sha2(F.col(text_col).cast("binary"), 256).alias("digest"), F.posexplode(F.split(text_col, BLANK_LINES)).alias("paragraph", "block"))
-    words = blocks.select("digest", "paragraph", F.regexp_extract_all(F.lower("block"), F.lit(WORD), 0).alias("words"))
-    n = F.size("words")
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((n - WINDOW) / STEP), F.lit(0)).cast("int"))
-    windows = F.filter(F.transform(starts, lambda i: F.slice("words", i * STEP + 1, WINDOW)), has_item)
-    found = words.where(has_item(F.col("words"))).select("digest", "paragraph", F.explode(windows).alias("window"))
+    found = blocks.select("digest", "paragraph", F.explode(windows(F.regexp_extract_all(F.lower("block"), F.lit(WORD), 0))).alias("window"))
     return found.select("digest", "paragraph", F.array_join("window", " ").alias("piece")).distinct()
 
 
