@@ -134,8 +134,8 @@ def catalog(data: bytes, gap: int = 0) -> tuple[list[Entry], int, bytes]:
     return entries, begin, comment
 
 
-def read_member(data: bytes, e: Entry) -> bytes:
-    """A member's bytes, checked."""
+def stored_member(data: bytes, e: Entry) -> bytes:
+    """A member's bytes as they lie in the archive."""
     if data[e.header_offset : e.header_offset + 4] != b"PK\x03\x04" or e.header_offset + 30 > len(data):
         raise CodecError(f"bad local header of {e.filename}")
     name_len, extra_len = struct.unpack_from("<HH", data, e.header_offset + 26)
@@ -143,6 +143,12 @@ def read_member(data: bytes, e: Entry) -> bytes:
     stored = data[at : at + e.compress_size]
     if len(stored) != e.compress_size:
         raise CodecError(f"{e.filename} ends early")
+    return stored
+
+
+def read_member(data: bytes, e: Entry) -> bytes:
+    """A member's bytes, checked."""
+    stored = stored_member(data, e)
     if e.compress_type == STORE:
         out = stored
         if len(out) != e.file_size:

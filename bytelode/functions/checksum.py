@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
+
+import numpy as np
 
 CRC_POLYNOMIAL, ADLER_BASE = 0xEDB88320, 65_521
 
@@ -42,6 +45,25 @@ def crc32_shift(crc: int, after: int) -> int:
     return crc
 
 
+@lru_cache(None)
+def _images(k: int) -> np.ndarray:
+    """What multiplication by x**(8 * 2**k) makes of each of the 32 bits."""
+    return np.array([_times(_POWERS[k], 1 << i) for i in range(32)], np.int64)
+
+
+def crc32_shift_all(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """``crc32_shift`` of whole arrays of 64-bit integers: a step for each bit of the sizes."""
+    crc = crc.copy()
+    for k in range(int(after.max(initial=0)).bit_length()):
+        some = np.flatnonzero(after >> k & 1)
+        if len(some):
+            own, out = crc[some], np.zeros(len(some), np.int64)
+            for i, image in enumerate(_images(k)):
+                out ^= (own >> i & 1) * image
+            crc[some] = out
+    return crc
+
+
 def crc32_combine(first: int, second: int, second_size: int) -> int:
     return crc32_shift(first, second_size) ^ second
 

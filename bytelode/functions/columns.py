@@ -6,13 +6,14 @@ import zlib
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import checksum, codec, png
 from .archive import pack_member
-from .options import CodecError, Options
+from .options import DEFAULT_BLOCK, CodecError, Options
 
 _KINDS = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "struct<ok: boolean, error: string>": pa.struct([("ok", pa.bool_()), ("error", pa.string())]), "struct<data: binary, error: string>": pa.struct([("data", pa.binary()), ("error", pa.string())]), "struct<method: int, stored: binary, crc: long>": pa.struct([("method", pa.int32()), ("stored", pa.binary()), ("crc", pa.int64())]), "struct<width: int, height: int, channels: int, pixels: binary>": pa.struct([("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("pixels", pa.binary())])}
 
@@ -95,7 +96,30 @@ def adler32(content: Column | str) -> Column:
 
 def crc32_shift(crc: Column | str, after: Column | str) -> Column:
     """A part's share in the CRC-32 of the whole, ``after`` bytes before its end; bit_xor adds the shares."""
-    return arrow_function("long", checksum.crc32_shift, crc, after)
+
+    def run(crcs: pa.Array, sizes: pa.Array) -> pa.Array:
+        null = np.asarray(crcs.is_null()) | np.asarray(sizes.is_null())
+        out = checksum.crc32_shift_all(*(a.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for a in (crcs, sizes)))
+        return pa.array(out, mask=null)
+
+    return F.arrow_udf(run, "long")(crc, after)
+
+
+def adaptive_block(size: Column, threads: int, largest: int = 2 << 20) -> Column:
+    """The block size for a blob (int): ``options.adaptive_block`` in SQL."""
+    block, out = largest, F.lit(DEFAULT_BLOCK)
+    sizes = []
+    while block > DEFAULT_BLOCK:
+        sizes.append(block)
+        block //= 2
+    for b in reversed(sizes):
+        out = F.when(F.floor(size / b) >= 4 * max(1, threads), b).otherwise(out)
+    return out.cast("int")
+
+
+def thread_cap(size: Column, block: Column, threads: int) -> Column:
+    """As many threads as have two blocks each (int): ``options.thread_cap`` in SQL."""
+    return F.least(F.lit(max(1, threads)), F.greatest(F.lit(1), F.floor(size / (block * 2)))).cast("int")
 
 
 def adler32_total(adler: Column, after: Column) -> Column:

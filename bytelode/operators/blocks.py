@@ -18,16 +18,17 @@ from ..functions.options import PARALLEL_FROM, WINDOW, CodecError, Options
 def split_blocks(blobs: DataFrame, content: str = "content", opts: Options = Options()) -> DataFrame:
     """``blobs`` with content replaced by seq, off, raw_len, total, is_last, raw and dict. An empty blob has one empty block.
 
-    Blocks are cut before they become rows, so that no row carries the whole blob with it.
+    Blocks are cut, and the total taken, before they become rows, so that no row carries the whole blob with it. With
+    ``threads``, a blob's size decides on that of its blocks.
     """
     size, c = F.octet_length(content), F.col(content)
     if opts.rsyncable:
         ends = C.block_ends(content, opts)
     else:
-        step = F.lit(opts.block_size)
+        step = C.adaptive_block(size, opts.threads) if opts.threads else F.lit(opts.block_size)
         ends = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), step), lambda off: F.least(off + step, size))
     keep = [x for x in blobs.columns if x != content]
-    cut = blobs.select(*keep, c, ends.alias("__ends"))
+    cut = blobs.select(*keep, c, size.cast("long").alias("total"), ends.alias("__ends"))
 
     def block(end: Column, i: Column) -> Column:
         off = F.when(i == 0, F.lit(0)).otherwise(F.get("__ends", i - 1))
@@ -35,7 +36,7 @@ def split_blocks(blobs: DataFrame, content: str = "content", opts: Options = Opt
         window = F.unhex(F.lit("")) if opts.independent else c.substr(off - before + 1, before)
         return F.struct(off.cast("long").alias("off"), (end - off).cast("long").alias("raw_len"), c.substr(off + 1, end - off).alias("raw"), window.alias("dict"))
 
-    rows = cut.select(*keep, size.cast("long").alias("total"), F.posexplode(F.transform("__ends", block)).alias("seq", "__b"))
+    rows = cut.select(*keep, "total", F.posexplode(F.transform("__ends", block)).alias("seq", "__b"))
     off, raw_len = F.col("__b.off"), F.col("__b.raw_len")
     return rows.select(*keep, "seq", off.alias("off"), raw_len.alias("raw_len"), "total", (off + raw_len == F.col("total")).alias("is_last"), F.col("__b.raw").alias("raw"), F.col("__b.dict").alias("dict"))
 
@@ -79,8 +80,14 @@ def assemble(blocks: DataFrame, keys: list[str], opts: Options = Options(), name
 
 
 def compress_in_blocks(blobs: DataFrame, keys: list[str], content: str = "content", opts: Options = Options()) -> DataFrame:
-    """(keys, content, crc, adler, raw_len) by the block pipeline."""
-    return assemble(deflate_blocks(split_blocks(blobs.select(*keys, content), content, opts), opts), keys, opts)
+    """(keys, content, crc, adler, raw_len) by the block pipeline.
+
+    With ``threads``, a blob's blocks are dealt over as many tasks, or fewer where it is small; else they stay in its own.
+    """
+    cut = split_blocks(blobs.select(*keys, content), content, opts)
+    if opts.threads > 1:
+        cut = cut.repartition(*keys, F.pmod("seq", C.thread_cap(F.col("total"), C.adaptive_block(F.col("total"), opts.threads), opts.threads)))
+    return assemble(deflate_blocks(cut, opts), keys, opts)
 
 
 def compress_blobs(blobs: DataFrame, keys: list[str], content: str = "content", opts: Options = Options(), parallel_from: int = PARALLEL_FROM) -> DataFrame:

@@ -121,37 +121,64 @@ def checked_members(rows: DataFrame) -> DataFrame:
     return rows.withColumns({**own, "filename": name}).withColumn("data", F.when(F.col("filename").endswith("/"), F.unhex(F.lit(""))).otherwise(F.coalesce("data", F.unhex(F.lit("")))))
 
 
-def zip_build(rows: DataFrame, keys: list[str], opts: Options = Options(), comment: Column | None = None) -> DataFrame:
-    """(keys, content, members): an archive for each key of rows (ordinal, filename, data, ...). At most 2 GiB each.
+def packed_members(rows: DataFrame, keys: list[str], opts: Options = Options()) -> DataFrame:
+    """(keys, ordinal, filename, method, crc, raw_len, stored, mtime, comment, external_attr) of rows to archive.
 
-    A member's own compress_type and compress_level go before the options.
+    A member's own compress_type and compress_level go before the options; its external_attr may be null.
     """
     level = F.col("compress_level").cast("int") if "compress_level" in rows.columns else F.lit(None).cast("int")
-    packed = checked_members(rows).withColumn("__p", C.zip_pack("data", "filename", "compress_type", level, opts)).withColumn("__raw", F.octet_length("data").cast("long")).drop("data")
-    size = F.octet_length("__p.stored").cast("long")
-    local = C.arrow_function("binary", A.local_header, "filename", "__p.method", "mtime", "__p.crc", size, "__raw")
+    attr = F.col("external_attr").cast("long") if "external_attr" in rows.columns else F.lit(None).cast("long")
+    packed = checked_members(rows).withColumn("__p", C.zip_pack("data", "filename", "compress_type", level, opts))
+    return packed.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), "filename", "__p.method", "__p.crc", F.octet_length("data").cast("long").alias("raw_len"), "__p.stored", "mtime", "comment", attr.alias("external_attr"))
+
+
+def zip_assemble(packed: DataFrame, keys: list[str], comments: DataFrame | None = None) -> DataFrame:
+    """(keys, content, members): an archive for each key of packed members. comments: (keys, comment) of archives."""
+    size = F.octet_length("stored").cast("long")
+    local = C.arrow_function("binary", A.local_header, "filename", "method", "mtime", "crc", size, "raw_len")
     packed = packed.withColumn("__size", size).withColumn("__local", local)
     order = Window.partitionBy(*keys).orderBy("ordinal")
     before = F.coalesce(F.sum(F.octet_length("__local") + F.col("__size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     packed = packed.withColumn("__offset", before)
-    central = C.arrow_function("binary", A.central_header, "filename", "__p.method", "mtime", "__p.crc", "__size", "__raw", "__offset", "comment")
-    packed = packed.withColumn("__central", central).withColumn("__record", F.concat("__local", "__p.stored"))
+    central = C.arrow_function("binary", A.central_header, "filename", "method", "mtime", "crc", "__size", "raw_len", "__offset", "comment", "external_attr")
+    packed = packed.withColumn("__central", central).withColumn("__record", F.concat("__local", "stored"))
     whole = packed.groupBy(*keys).agg(F.expr("listagg(__record) WITHIN GROUP (ORDER BY ordinal)").alias("__body"), F.expr("listagg(__central) WITHIN GROUP (ORDER BY ordinal)").alias("__dir"), F.count("*").alias("members"))
-    end = C.arrow_function("binary", lambda n, d, b, c: framing.directory_end(n, d, b, c or b""), "members", F.octet_length("__dir").cast("long"), F.octet_length("__body").cast("long"), F.unhex(F.lit("")) if comment is None else comment)
+    whole = whole.withColumn("__comment", F.unhex(F.lit(""))) if comments is None else whole.join(comments.withColumnRenamed("comment", "__comment"), keys, "left")
+    end = C.arrow_function("binary", lambda n, d, b, c: framing.directory_end(n, d, b, c or b""), "members", F.octet_length("__dir").cast("long"), F.octet_length("__body").cast("long"), "__comment")
     return whole.select(*keys, F.concat("__body", "__dir", end).alias("content"), "members")
 
 
+def zip_build(rows: DataFrame, keys: list[str], opts: Options = Options(), comment: Column | None = None) -> DataFrame:
+    """(keys, content, members): an archive for each key of rows (ordinal, filename, data, ...). At most 2 GiB each."""
+    comments = None if comment is None else rows.select(*keys).distinct().withColumn("comment", comment)
+    return zip_assemble(packed_members(rows, keys, opts), keys, comments)
+
+
+PACKED_SCHEMA = "ordinal long, filename string, method int, crc long, raw_len long, stored binary, mtime long, comment binary, external_attr long"
+
+
+def _packed(data: bytes) -> list[dict]:
+    """Members as they lie in an archive, each read once to see that it is whole."""
+    out = []
+    try:
+        for e in A.catalog(data)[0]:
+            A.read_member(data, e)
+            out.append({"ordinal": e.ordinal, "filename": e.filename, "method": e.compress_type, "crc": e.crc, "raw_len": e.file_size, "stored": A.stored_member(data, e), "mtime": e.mtime or 0, "comment": e.comment, "external_attr": e.external_attr})
+    except CodecError as error:
+        raise CodecError(f"can't append to a corrupt archive: {error}") from None
+    return out
+
+
 def zip_append(archives: DataFrame, rows: DataFrame, keys: list[str], opts: Options = Options(), content: str = "content") -> DataFrame:
-    """Archives with further members behind those that they have; a key without an archive begins one."""
-    old = zip_members(archives, keys, content)
-    broken = F.raise_error(F.concat(F.lit("can't append to a corrupt archive: "), F.col("error"))).cast("binary")
-    old = old.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), "filename", F.when(F.col("error").isNotNull(), broken).otherwise(F.col("data")).alias("data"), "compress_type", "mtime", "comment")
+    """Archives with further members behind those that they have; a key without an archive begins one.
+
+    The old members keep their stored bytes, dates, comments and attributes, and the archive its comment. Extra fields of
+    headers are written anew.
+    """
+    old = explode_bytes(archives, keys, content, PACKED_SCHEMA, _packed)
     last = old.groupBy(*keys).agg(F.max("ordinal").alias("__last"))
     new = rows.join(last, keys, "left").withColumn("ordinal", F.col("ordinal").cast("long") + F.coalesce(F.col("__last") + 1, F.lit(0))).drop("__last")
-    for c, v in {"compress_type": F.lit(A.DEFLATE), "mtime": F.lit(EPOCH).cast("long"), "comment": F.unhex(F.lit(""))}.items():
-        if c not in new.columns:
-            new = new.withColumn(c, v)
-    return zip_build(old.unionByName(new.select(*old.columns)), keys, opts)
+    return zip_assemble(old.unionByName(packed_members(new, keys, opts)), keys, archive_comments(archives, keys, content))
 
 
 def archive_comments(archives: DataFrame, keys: list[str], content: str = "content") -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import containers as Z
 from ..operators import images as I
 from ..operators import streams as S
 from ..operators.summary import split_members, summarize_runs
+from ..sources import corpus
 
 SMALL_BLOCK = 4096
 QUERIES: dict = {}
@@ -209,12 +210,8 @@ def rsync_cuts(spark, sf_dir):
 @query("""SELECT doc_id, n AS size, CASE WHEN n // 2097152 >= 32 THEN 2097152 WHEN n // 1048576 >= 32 THEN 1048576 WHEN n // 524288 >= 32 THEN 524288 WHEN n // 262144 >= 32 THEN 262144 ELSE 131072 END::BIGINT AS block,
 least(8, greatest(1, n // 262144))::BIGINT AS threads FROM (SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents)""")
 def adaptive_blocks(spark, sf_dir):
-    size = F.col("size")
-    block = F.lit(131072)
-    for b in (262144, 524288, 1048576, 2097152):
-        block = F.when(F.floor(size / b) >= 32, b).otherwise(block)
     d = blobs(spark, sf_dir).select("doc_id", F.octet_length("content").cast("long").alias("size"))
-    return d.select("doc_id", "size", block.cast("long").alias("block"), F.least(F.lit(8), F.greatest(F.lit(1), F.floor(size / 262144))).cast("long").alias("threads"))
+    return d.select("doc_id", "size", C.adaptive_block(F.col("size"), 8).cast("long").alias("block"), C.thread_cap(F.col("size"), F.lit(131072), 8).cast("long").alias("threads"))
 
 
 # checksums
@@ -396,7 +393,7 @@ def zip_info(spark, sf_dir):
 @query("SELECT n_nationkey, left(repeat(n_name || ' ', 50), 333) AS text FROM nation")
 def corpus_roundtrip(spark, sf_dir):
     """Names repeated to a size, as a corpus for measurements is, compressed and decoded."""
-    content = F.substring(F.repeat(F.concat("n_name", F.lit(" ")), 50).cast("binary"), 1, 333)
+    content = corpus.repeated(F.concat("n_name", F.lit(" ")), 333)
     return read(spark, sf_dir, "nation").select("n_nationkey", text(C.inflate_auto(C.gzip_compress(content))).alias("text"))
 
 
@@ -425,14 +422,17 @@ def zip_testzip(spark, sf_dir):
     return Z.test_archives(Z.zip_members(broken, ["conv_id"]), ["conv_id"])
 
 
-@query("""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY k, turn) - 1)::INT AS ordinal, name AS filename, octet_length(encode(s))::BIGINT AS file_size
-FROM (SELECT conv_id, turn, 0 AS k, turn::VARCHAR AS name, text AS s FROM conversations UNION ALL SELECT conv_id, turn, 1, 'roles/' || turn, role FROM conversations)""")
+@query("""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY k, turn) - 1)::INT AS ordinal, name AS filename, octet_length(encode(s))::BIGINT AS file_size,
+  CASE WHEN k = 0 THEN 33261 ELSE 33188 END::BIGINT AS mode, CASE WHEN k = 0 THEN role ELSE '' END AS comment, 'first ' || conv_id AS archive_comment, md5(s) AS digest
+FROM (SELECT conv_id, turn, 0 AS k, turn::VARCHAR AS name, text AS s, role FROM conversations UNION ALL SELECT conv_id, turn, 1, 'roles/' || turn, role, role FROM conversations)""")
 def zip_append(spark, sf_dir):
+    """Old members keep their attributes and comments, and the archive its own."""
     d = read(spark, sf_dir, "conversations")
-    first = d.select("conv_id", F.col("turn").alias("ordinal"), F.col("turn").cast("string").alias("filename"), utf8("text").alias("data"))
+    first = d.select("conv_id", F.col("turn").alias("ordinal"), F.col("turn").cast("string").alias("filename"), utf8("text").alias("data"), F.lit(0o100755 << 16).cast("long").alias("external_attr"), utf8("role").alias("comment"))
     more = d.select("conv_id", F.col("turn").alias("ordinal"), F.concat(F.lit("roles/"), "turn").alias("filename"), utf8("role").alias("data"))
-    done = Z.zip_append(Z.zip_build(first, ["conv_id"]), more, ["conv_id"])
-    return Z.zip_entries(done, ["conv_id"]).select("conv_id", "ordinal", "filename", "file_size")
+    done = Z.zip_append(Z.zip_build(first, ["conv_id"], comment=utf8(F.concat(F.lit("first "), "conv_id"))), more, ["conv_id"])
+    found = Z.zip_members(done, ["conv_id"]).join(Z.archive_comments(done, ["conv_id"]).withColumnRenamed("comment", "__c"), "conv_id")
+    return found.select("conv_id", "ordinal", "filename", "file_size", F.shiftright("external_attr", 16).alias("mode"), text(F.col("comment")).alias("comment"), text(F.col("__c")).alias("archive_comment"), F.md5("data").alias("digest"))
 
 
 MEMBER_NAMES = ("a//./b.txt", "/abs/c.txt", "win\\\\d.txt", "../up.txt", "in/../up.txt", "dots...txt", "folder/")
@@ -548,8 +548,9 @@ def split_into_members(spark, sf_dir):
 
 @query("SELECT lang, source, count(*)::BIGINT AS blobs, sum(octet_length(encode(text)))::BIGINT AS raw_len, max(octet_length(encode(text)))::BIGINT AS largest FROM documents GROUP BY 1, 2")
 def blob_profile(spark, sf_dir):
-    size = F.octet_length("text").cast("long")
-    return read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("blobs"), F.sum(size).alias("raw_len"), F.max(size).alias("largest"))
+    """From compressed blobs: their number, and the sizes that their trailers give."""
+    d = read(spark, sf_dir, "documents").select("lang", "source", C.gzip_isize(C.gzip_compress(utf8("text"), level=1)).alias("size"))
+    return d.groupBy("lang", "source").agg(F.count("*").alias("blobs"), F.sum("size").alias("raw_len"), F.max("size").alias("largest"))
 
 
 @query("SELECT source, quality, count(*)::BIGINT AS members, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
@@ -579,9 +580,10 @@ def rel_largest_members(spark, sf_dir):
 
 @query("SELECT source, doc_id, coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM documents")
 def rel_member_offsets(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    d = read(spark, sf_dir, "documents")
-    return d.select("source", "doc_id", F.coalesce(F.sum(F.octet_length("text").cast("long")).over(w), F.lit(0).cast("long")).alias("off"))
+    """Where each member's decoded bytes begin when those of an archive are read one after the other, from its catalog."""
+    w = Window.partitionBy("source").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    found = Z.zip_entries(archives(spark, sf_dir), ["source"])
+    return found.select("source", F.regexp_extract("filename", r"/(\d+)\.", 1).cast("long").alias("doc_id"), F.coalesce(F.sum("file_size").over(w), F.lit(0).cast("long")).alias("off"))
 
 
 @query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*)::BIGINT AS n, sum(octet_length(encode(coalesce(props, ''))))::BIGINT AS bytes FROM events GROUP BY 1, 2")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def repeated(text: Column, size: int) -> Column:
+    """The text's bytes over and over, to a size, the last time cut off; null for an empty text."""
+    times = F.ceil(F.lit(size) / F.octet_length(text)).cast("int")
+    return F.when(F.octet_length(text) > 0, F.substring(F.repeat(text, times).cast("binary"), 1, size))
+
+
 def repeated_text(spark: SparkSession, text: str, size: int, files: int = 1) -> DataFrame:
     """(id, content) of ``files`` blobs of ``size`` bytes: the text's bytes over and over, the last time cut off."""
-    raw = text.encode()
-    if not raw:
+    if not text:
         raise ValueError("an empty text can't be repeated")
-    times = -(-size // len(raw))
-    whole = F.repeat(F.lit(text), times).cast("binary")
-    return spark.range(files).select("id", F.substring(whole, 1, size).alias("content"))
+    return spark.range(files).select("id", repeated(F.lit(text), size).alias("content"))
 
 
 def random_bytes(spark: SparkSession, size: int, files: int = 1, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ import glob
 import os
 import stat
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns, paths
@@ -23,6 +23,23 @@ def read_blobs(spark: SparkSession, path: str | list[str], recursive: bool = Fal
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
+def archive_rows(spark: SparkSession, path: str | list[str], root: str = "", arcroot: str = "", pattern: str | None = None) -> DataFrame:
+    """(ordinal, filename, data, mtime) of files, as zip_build takes them, in order of their names.
+
+    A file's name in the archive is its path below ``root``, put below ``arcroot``; its date is the file's. Spark's
+    readers leave out empty files.
+    """
+    own = read_blobs(spark, path, True, pattern)
+    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.\-]*:/*", "/")
+    start = root.rstrip("/") + "/"
+    below = F.when(plain.startswith(start), plain.substr(F.lit(len(start) + 1), F.length(plain))).otherwise(F.ltrim(plain, F.lit("/")))
+    name = F.concat(F.lit(arcroot.rstrip("/") + "/" if arcroot else ""), below)
+    rows = own.select(name.alias("filename"), F.col("content").alias("data"), F.unix_timestamp("modificationTime").alias("mtime"))
+    # names alone are put in order
+    order = own.select(name.alias("filename")).distinct().select("filename", (F.row_number().over(Window.orderBy("filename")) - 1).cast("long").alias("ordinal"))
+    return rows.join(order, "filename").select("ordinal", "filename", "data", "mtime")
+
+
 def file_kinds(spark: SparkSession, names: list[str], recursive: bool = False) -> DataFrame:
     """(path, kind, mtime, size) of names on a mounted path: what skip_reason asks for."""
     rows = []

@@ -3,6 +3,7 @@
 import gzip
 import io
 import random
+import re
 import zipfile
 import zlib
 
@@ -10,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytelode.functions import columns as C
-from bytelode.functions import paths
-from bytelode.functions.options import CodecError, Options
+from bytelode.functions import archive, checksum, paths
+from bytelode.functions.options import CodecError, Options, adaptive_block, thread_cap
 from bytelode.operators import blocks as B
 from bytelode.operators import containers as Z
 from bytelode.operators import images as I
@@ -154,6 +155,57 @@ def test_append(spark, archives):
         Z.zip_build(more.withColumn("filename", F.lit("//")), ["archive"]).collect()
 
 
+def test_append_keeps_what_was_there(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        for name, mode in (("run.sh", 0o100755), ("plain.txt", 0o100600)):
+            i = zipfile.ZipInfo(name, (2001, 2, 3, 4, 5, 6))
+            i.external_attr, i.comment, i.compress_type = mode << 16, name.encode(), zipfile.ZIP_DEFLATED
+            z.writestr(i, TEXT)
+        z.comment = b"of the archive"
+    old = spark.createDataFrame([("x", bytearray(out.getvalue()))], "archive string, content binary")
+    more = spark.createDataFrame([("x", 0, "new.txt", bytearray(b"new"))], "archive string, ordinal long, filename string, data binary")
+    content = bytes(Z.zip_append(old, more, ["archive"], Options(level=9)).first().content)
+    before, after = zipfile.ZipFile(out), zipfile.ZipFile(io.BytesIO(content))
+    assert after.comment == b"of the archive" and after.namelist() == ["run.sh", "plain.txt", "new.txt"] and after.testzip() is None
+    for a, b in zip(before.infolist(), after.infolist()):
+        assert (a.external_attr, a.comment, a.date_time, a.CRC, a.compress_size) == (b.external_attr, b.comment, b.date_time, b.CRC, b.compress_size)
+    mine, theirs = archive.catalog(content)[0], archive.catalog(out.getvalue())[0]
+    assert [archive.stored_member(content, e) for e in mine[:2]] == [archive.stored_member(out.getvalue(), e) for e in theirs]
+
+
+def test_no_block_row_carries_its_blob(spark):
+    frame = spark.createDataFrame([("a", bytearray(TEXT))], "path string, content binary").repartition(2)
+    plan = B.split_blocks(frame)._jdf.queryExecution().optimizedPlan().toString()
+    # the rows above have no content, and the generator drops it from its input's columns (path, content, total, ends)
+    dropped = re.search(r"\[([\d, ]+)\], false, \[seq", plan)[1].split(", ")
+    assert "content" not in plan[: plan.index("Generate")] and "1" in dropped
+
+
+def test_threads_deal_blocks(spark):
+    big = TEXT * (1 + (3 << 20) // len(TEXT))
+    frame = spark.createDataFrame([("a", bytearray(big)), ("b", bytearray(b"")), ("c", bytearray(TEXT))], "path string, content binary")
+    for opts in (Options(threads=4), Options(threads=1), Options(threads=3, independent=True)):
+        got = {r.path: gzip.decompress(bytes(r.content)) for r in B.compress_in_blocks(frame, ["path"], opts=opts).collect()}
+        assert got == {"a": big, "b": b"", "c": TEXT}
+    sizes = {r.path: r.n for r in B.split_blocks(frame, opts=Options(threads=4)).groupBy("path").agg(F.max("raw_len").alias("n")).collect()}
+    assert sizes["a"] == adaptive_block(len(big), 4)
+
+
+def test_adaptive_blocks_in_sql(spark):
+    rows = [(n, t) for n in (0, 1, 131_072, 1 << 20, (32 << 20) - 1, 32 << 20, 1 << 26, 1 << 33) for t in (0, 1, 8, 100)]
+    frame = spark.createDataFrame(rows, "size long, t int")
+    for t in (0, 1, 8, 100):
+        for r in frame.where(F.col("t") == t).select("size", C.adaptive_block(F.col("size"), t).alias("b"), C.thread_cap(F.col("size"), F.lit(1 << 18), t).alias("c")).collect():
+            assert (r.b, r.c) == (adaptive_block(r.size, t), thread_cap(r.size, 1 << 18, t))
+
+
+def test_checksum_shares_of_whole_columns(spark):
+    rows = [(zlib.crc32(bytes([k])), n) for k, n in enumerate((0, 1, 31, 131_072, 1 << 20, (1 << 40) + 12_345))] + [(None, 3), (5, None)]
+    got = spark.createDataFrame(rows, "crc long, after long").select("crc", "after", C.crc32_shift("crc", "after").alias("s")).collect()
+    assert all(r.s == (None if None in (r.crc, r.after) else checksum.crc32_shift(r.crc, r.after)) for r in got) and len(got) == 8
+
+
 def test_extract(spark, archives, tmp_path):
     assert Z.extract(Z.zip_members(archives, ["archive"]).where("archive = 'x'"), str(tmp_path)) == 5
     assert (tmp_path / "a.txt").read_bytes() == TEXT and (tmp_path / "dir").is_dir() and (tmp_path / "b/c.txt").read_bytes() == b"x"

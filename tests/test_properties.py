@@ -50,8 +50,8 @@ def test_checksums_fold_in_any_order(parts):
     assert (crc, adler) == (zlib.crc32(whole), zlib.adler32(whole))
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.tuples(st.text("abc/é", min_size=1, max_size=8).filter(lambda s: s.strip("/")), blobs), max_size=6), st.binary(max_size=50))
+@settings(max_examples=80, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.text("abc/é", min_size=1, max_size=8).filter(lambda s: s.strip("/")), blobs), max_size=6), st.binary(max_size=50).filter(lambda c: b"PK\5\6" not in c))
 def test_archives_are_read_elsewhere(members, comment):
     packed = archive.build([(n.lstrip("/"), b"" if n.endswith("/") else d, 8) for n, d in members], comment=comment)
     z = zipfile.ZipFile(io.BytesIO(packed))
@@ -59,14 +59,22 @@ def test_archives_are_read_elsewhere(members, comment):
     assert [archive.read_member(packed, e) for e in archive.catalog(packed)[0]] == [z.read(i) for i in z.infolist()]
 
 
-@settings(max_examples=80, deadline=None)
+def test_a_comment_that_looks_like_an_end_is_read_here():
+    """The standard library takes the last such mark for the archive's end, which is why the test above leaves it out."""
+    for comment in (b"PK\5\6", b"x PK\5\6 y", b"PK\5\6" * 5):
+        packed = archive.build([("a", b"data", 8)], comment=comment)
+        entries, _, found = archive.catalog(packed)
+        assert found == comment and archive.read_member(packed, entries[0]) == b"data"
+
+
+@settings(max_examples=80, deadline=None, derandomize=True)
 @given(st.integers(1, 9), st.integers(1, 9), st.integers(1, 4), st.sampled_from(sorted(png.FILTERS)), st.randoms(use_true_random=False))
 def test_images_come_back(h, w, c, kind, rng):
     a = np.frombuffer(rng.randbytes(h * w * c), np.uint8).reshape(h, w, c)
     assert (png.decode_array(png.encode_array(np.ascontiguousarray(a), filter=kind)).reshape(h, w, c) == a).all()
 
 
-@settings(max_examples=80, deadline=None)
+@settings(max_examples=80, deadline=None, derandomize=True)
 @given(st.lists(st.binary(max_size=300), min_size=1, max_size=5), st.binary(max_size=20))
 def test_members_end_where_foreign_bytes_begin(parts, tail):
     if tail.startswith(b"\x1f\x8b\x08"):

@@ -48,9 +48,10 @@ def test_every_query_has_sql():
     assert set(engine().QUERIES) == set(engine().ORACLES)
 
 
-def test_the_rest_stands_alone(tmp_path):
-    """Without the optional subpackage and the pipeline the entry module imports and keeps its other queries."""
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_the_rest_stands_alone(tmp_path, gone):
+    """Without the optional subpackage, and without the pipeline too, the entry module imports and keeps its other queries."""
     own = tmp_path / "repo"
-    shutil.copytree(HERE, own, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".*"))
+    shutil.copytree(HERE, own, ignore=shutil.ignore_patterns(".git", *gone, "__pycache__", ".*"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [k for k in q if k.startswith('op') and k[2:3].isdigit()] and 'pipeline' not in q and set(e.oracle_sql()) == set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=own, check=True)

@@ -155,3 +155,21 @@ def test_chunk_streams(spark, tmp_path):
     run(streams.inflate_chunks(chunks).writeStream.format("memory").queryName("joined").outputMode("append").start())
     got = {r.stream_id: (r.data and bytes(r.data), r.error) for r in spark.table("joined").collect()}
     assert got == {1: (gzip.decompress(data), None), 2: (None, "no known format")}
+
+
+def test_archive_rows_of_files(spark, tmp_path):
+    import io
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    from bytelode.operators import containers
+
+    (tmp_path / "in/sub dir").mkdir(parents=True)
+    (tmp_path / "in/a.txt").write_bytes(b"a" * 500)
+    (tmp_path / "in/sub dir/é%20.bin").write_bytes(b"x")
+    os.utime(tmp_path / "in/a.txt", (981_173_106, 981_173_106))
+    rows = files.archive_rows(spark, f"file://{tmp_path}/in", root=f"{tmp_path}/in", arcroot="top").withColumn("archive", F.lit("x"))
+    z = zipfile.ZipFile(io.BytesIO(bytes(containers.zip_build(rows, ["archive"]).first().content)))
+    assert z.namelist() == ["top/a.txt", "top/sub dir/é%20.bin"] and z.read("top/a.txt") == b"a" * 500
+    assert z.getinfo("top/a.txt").date_time == (2001, 2, 3, 4, 5, 6)
