@@ -11,10 +11,12 @@ fresh ones are drawn. A bucket is done when it is small, or when it keeps ``ALIK
 of its pairs are links, and are compared because they are to be counted.
 
 In small buckets signatures are compared by brute force, loosely; nodes that this connects are a group, and the same
-group from several buckets is one. The nodes of a bucket that is done by likeness are a group as well. In each
-group all pairs are compared exactly, on whole sets, in blocks of bounded items, so that no task holds more than two
-blocks and nothing is emitted for a pair. A pair that several groups hold counts in the first of them only: each node
-brings the list of its groups. Links connect classes.
+group from several buckets is one. The nodes of a bucket that is done by likeness are a group as well. The buckets of
+several runs give much the same groups, so those that share nodes are made one where all their nodes fit in a block;
+where they don't, only groups by likeness that share nodes are, and the others stay as they are, so that loose
+resemblance never chains to large groups. In each group all pairs are compared exactly, on whole sets, in blocks of
+bounded items, so that no task holds more than two blocks and nothing is emitted for a pair. A pair that several groups
+hold counts in the first of them only: each node brings the list of its groups. Links connect classes.
 
 With c choices a pair of the least similarity t survives a run with the probability s = 1 - (1 - t s)^c of its depth;
 c is chosen so that c t is at least 1.5, and runs are repeated until the chance that all fail is below 1 - ``recall``.
@@ -163,7 +165,29 @@ def closed(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def groups_of(nodes: DataFrame, similarity: float, runs: int, choices: int, limit: int, fresh) -> DataFrame:
+def joined_by_nodes(groups: DataFrame) -> DataFrame:
+    """(node, label) of the nodes of groups (g, node): groups that share nodes have one label."""
+    first = written(groups.groupBy("g").agg(F.min("node").alias("first")), "group-first")
+    edges = written(groups.join(first, "g").select(F.col("node").alias("a"), F.col("first").alias("b")), "group-edges")
+    out = connected_components(edges).withColumnRenamed("id", "node")
+    forget(first, edges)
+    return out
+
+
+def merged(groups: DataFrame, block: int) -> DataFrame:
+    """(g, node), written: groups (g, node, alike), those that share nodes made one where that is no more work."""
+    held = written(joined_by_nodes(groups), "group-labels")
+    sizes = written(held.groupBy("label").agg((F.count("*") <= block).alias("fits")), "label-sizes")
+    labels = held.join(sizes, "label")
+    one = labels.where("fits").select(F.xxhash64("label").alias("g"), "node")
+    rest = written(groups.join(labels.where("NOT fits").select("node"), "node"), "large-groups")
+    alike = joined_by_nodes(rest.where("alike").select("g", "node")).select(F.xxhash64("label", F.lit(1)).alias("g"), "node")
+    out = written(one.unionByName(alike).unionByName(rest.where("NOT alike").select("g", "node")).distinct(), "merged-groups")
+    forget(held, sizes, rest)
+    return out
+
+
+def groups_of(nodes: DataFrame, similarity: float, runs: int, choices: int, limit: int, block: int, fresh) -> DataFrame:
     """(g, node), written: groups that hold all similar pairs, up to the recall. fresh(epoch): (node, minhash) with
     coordinates that no epoch before had."""
     roots = nodes.select(F.posexplode("roots").alias("k", "bucket"), "node")
@@ -189,11 +213,13 @@ def groups_of(nodes: DataFrame, similarity: float, runs: int, choices: int, limi
     small = leaves[0]
     for x in leaves[1:]:
         small = small.unionByName(x)
-    out = connected_in_bucket(small.join(nodes.select("node", "minhash"), "node"), similarity)
+    found = connected_in_bucket(small.join(nodes.select("node", "minhash"), "node"), similarity).withColumn("alike", F.lit(False))
     for x in alike_groups:
-        out = out.unionByName(x)
-    out = written(out.distinct(), "groups")
+        found = found.unionByName(x.withColumn("alike", F.lit(True)))
+    found = written(found.distinct(), "groups")
     forget(*held)
+    out = merged(found, block)
+    forget(found)
     return out
 
 
@@ -323,7 +349,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         again = signatures(docs, id_col, text_col, shingle, runs, choices, epoch)
         return written(again.groupBy("node").agg(F.first("minhash").alias("minhash")), "signatures")
 
-    groups = groups_of(nodes, similarity, runs, choices, limit, fresh)
+    groups = groups_of(nodes, similarity, runs, choices, limit, block, fresh)
     links = compared(keyed(docs, id_col, text_col), nodes, groups, text_col, shingle, similarity, block, block_items)
     classes = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("node").agg(F.sum("links").alias("links"))
