@@ -12,9 +12,9 @@ of its pairs are links, and are compared because they are to be counted.
 
 In small buckets signatures are compared by brute force, loosely; nodes that this connects are a group, and the same
 group from several buckets is one. The nodes of a bucket that is done by likeness are a group as well. The buckets of
-several runs give much the same groups, so those that share nodes are made one where all their nodes fit in a block;
-where they don't, only groups by likeness that share nodes are, and the others stay as they are, so that loose
-resemblance never chains to large groups. In each group all pairs are compared exactly, on whole sets, in blocks of
+several runs give much the same groups, so those that share nodes with one group are made one where all their nodes fit
+in a block; where they don't, only groups by likeness are, and the others stay as they are, so that loose resemblance
+never chains to large groups. In each group all pairs are compared exactly, on whole sets, in blocks of
 bounded items, so that no task holds more than two blocks and nothing is emitted for a pair. A pair that several groups
 hold counts in the first of them only: each node brings the list of its groups. Links connect classes.
 
@@ -165,25 +165,20 @@ def closed(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def joined_by_nodes(groups: DataFrame) -> DataFrame:
-    """(node, label) of the nodes of groups (g, node): groups that share nodes have one label."""
-    first = written(groups.groupBy("g").agg(F.min("node").alias("first")), "group-first")
-    edges = written(groups.join(first, "g").select(F.col("node").alias("a"), F.col("first").alias("b")), "group-edges")
-    out = connected_components(edges).withColumnRenamed("id", "node")
-    forget(first, edges)
-    return out
-
-
 def merged(groups: DataFrame, block: int) -> DataFrame:
-    """(g, node), written: groups (g, node, alike), those that share nodes made one where that is no more work."""
-    held = written(joined_by_nodes(groups), "group-labels")
-    sizes = written(held.groupBy("label").agg((F.count("*") <= block).alias("fits")), "label-sizes")
-    labels = held.join(sizes, "label")
-    one = labels.where("fits").select(F.xxhash64("label").alias("g"), "node")
-    rest = written(groups.join(labels.where("NOT fits").select("node"), "node"), "large-groups")
-    alike = joined_by_nodes(rest.where("alike").select("g", "node")).select(F.xxhash64("label", F.lit(1)).alias("g"), "node")
-    out = written(one.unionByName(alike).unionByName(rest.where("NOT alike").select("g", "node")).distinct(), "merged-groups")
-    forget(held, sizes, rest)
+    """(g, node), written: groups (g, node, alike), those around a common one made one where that is no more work.
+
+    A group is dealt to the first of the groups that it shares a node with, one by likeness if there is any. This is one
+    step and no search for components: groups that still share nodes afterwards do no harm.
+    """
+    order = F.struct((~F.col("alike")).alias("loose"), "g")
+    first = written(groups.groupBy("node").agg(F.min(order).alias("first")), "node-first")
+    label = written(groups.join(first, "node").groupBy("g").agg(F.min("first").alias("first")).select("g", F.col("first.g").alias("label")), "group-labels")
+    held = written(groups.join(label, "g"), "labelled-groups")
+    sizes = written(held.select("label", "node").distinct().groupBy("label").agg((F.count("*") <= block).alias("fits")), "label-sizes")
+    g = F.when(F.col("fits"), F.xxhash64("label")).when(F.col("alike"), F.xxhash64("label", F.lit(1))).otherwise(F.col("g"))
+    out = written(held.join(sizes, "label").select(g.alias("g"), "node").distinct(), "merged-groups")
+    forget(first, label, held, sizes)
     return out
 
 
