@@ -31,11 +31,12 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import column, grouped
@@ -52,6 +53,8 @@ LIMIT, BLOCK, BLOCK_ITEMS = 128, 256, 1 << 20
 ALIKE = 0.7
 COLUMNS_AT_ONCE, ITEMS_AT_ONCE = 8192, 1 << 20
 NODE = "binary"
+#: Runtime filters for scans of any size, from sides of up to 256 MB.
+FILTERED_SCANS = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256m"}
 
 
 def choices_for(similarity: float) -> int:
@@ -230,35 +233,31 @@ def compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text_col: str
     own = groups.join(sizes, "g").groupBy("node").agg(F.collect_list(F.struct("g", "blocks")).alias("groups"))
     live = written(own.join(nodes.select("node", "rep", "copies"), "node").select("node", "rep.*", "groups", "copies"), "live")
 
-    def make_sets(batches):
-        for batch in batches:
-            for part in slices(batch, text_col):
-                g, off = sets_of(column(part, text_col), shingle)
-                yield pa.RecordBatch.from_arrays([column(part, "node"), pa.array([g[off[r] : off[r + 1]].tobytes() for r in range(part.num_rows)], pa.binary())], names=["node", "items"])
-
     # rows equal in id and text all have a node's set; one is enough
-    sets = docs.join(live.select("node", "id", "digest"), ["id", "digest"]).select("node", text_col).mapInArrow(make_sets, f"node {NODE}, items binary").dropDuplicates(["node"])
-    joined = sets.join(live.select("node", "groups", "copies"), "node")
+    asked = live.where("copies > 0").select("id", "digest", "node", "groups", "copies")
+    texts = docs.join(asked, ["id", "digest"]).groupBy("id", "digest").agg(*[F.first(c).alias(c) for c in (text_col, "node", "groups", "copies")])
 
     def spread(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                node, groups_ = column(batch, "node")[r].as_py(), column(batch, "groups")[r].as_py()
-                items, copies = column(batch, "items").slice(r, 1), column(batch, "copies").slice(r, 1)
-                number = int.from_bytes(node[:8], "little")
-                for x in groups_:
-                    g, n = x["g"], x["blocks"]
-                    k = (number ^ (g & (1 << 63) - 1)) % n
-                    before = [y["g"] for y in groups_ if y["g"] < g]
-                    # a few rows at a time: each holds the whole set
-                    for low in range(0, n, 8):
-                        other = np.arange(low, min(n, low + 8))
-                        one = pa.array(np.zeros(len(other), np.int64))
-                        m = len(other)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([g] * m, pa.int64()), pa.array(np.minimum(other, k), pa.int32()), pa.array(np.maximum(other, k), pa.int32()), pa.array([node] * m, pa.binary()), pa.array(np.full(m, k), pa.int32()), copies.take(one), pa.array([before] * m, pa.list_(pa.int64())), items.take(one)],
-                            names=["g", "i", "j", "node", "own", "copies", "before", "items"],
-                        )
+            for part in slices(batch, text_col):
+                g, off = sets_of(column(part, text_col), shingle)
+                for r in range(part.num_rows):
+                    yield from sent(column(part, "node")[r].as_py(), column(part, "groups")[r].as_py(), column(part, "copies").slice(r, 1), g[off[r] : off[r + 1]].tobytes())
+
+    def sent(node, groups_, copies, items):
+        number = int.from_bytes(node[:8], "little")
+        for x in groups_:
+            g, n = x["g"], x["blocks"]
+            k = (number ^ (g & (1 << 63) - 1)) % n
+            before = [y["g"] for y in groups_ if y["g"] < g]
+            # a few rows at a time: each holds the whole set
+            for low in range(0, n, 8):
+                other = np.arange(low, min(n, low + 8))
+                m = len(other)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g] * m, pa.int64()), pa.array(np.minimum(other, k), pa.int32()), pa.array(np.maximum(other, k), pa.int32()), pa.array([node] * m, pa.binary()), pa.array(np.full(m, k), pa.int32()), copies.take(pa.array(np.zeros(m, np.int64))), pa.array([before] * m, pa.list_(pa.int64())), pa.array([items] * m, pa.binary())],
+                    names=["g", "i", "j", "node", "own", "copies", "before", "items"],
+                )
 
     def fold(parts):
         nodes_ = [x for p in parts for x in column(p, "node").to_pylist()]
@@ -280,12 +279,29 @@ def compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text_col: str
             label = closed(near)
             yield pa.RecordBatch.from_arrays([pa.array([nodes_[i] for i in some], pa.binary()), pa.array([nodes_[label[i]] for i in some], pa.binary()), pa.array((near @ copies)[some].astype(np.int64)), pa.array(near.sum(1)[some].astype(np.int64))], names=["node", "root", "links", "texts"])
 
-    rows = joined.mapInArrow(spread, f"g long, i int, j int, node {NODE}, own int, copies long, before array<long>, items binary")
-    links = written(grouped(rows, ["g", "i", "j"], f"node {NODE}, root {NODE}, links long, texts long", fold), "links")
+    rows = texts.mapInArrow(spread, f"g long, i int, j int, node {NODE}, own int, copies long, before array<long>, items binary")
+    with filtered_scans(docs.sparkSession):
+        links = written(grouped(rows, ["g", "i", "j"], f"node {NODE}, root {NODE}, links long, texts long", fold), "links")
     forget(sizes, live)
     return links
 
 
+@contextmanager
+def filtered_scans(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark drop rows that a join can't need before they are shuffled, by a Bloom filter of the other side's keys.
+
+    The filter's size is bounded by Spark (8 MB); where the keys are too many for it, all rows are shuffled.
+    """
+    was = {k: spark.conf.get(k, None) for k in FILTERED_SCANS}
+    for k, v in FILTERED_SCANS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of sorted sets; what is on the diagonal means nothing.
 
