@@ -204,6 +204,10 @@ def groups_of(nodes: DataFrame, similarity: float, runs: int, choices: int, limi
         if level > 1 and (level - 1) % LEVELS == 0:
             minhash = fresh((level - 1) // LEVELS)
             held.append(minhash)
+        if (level - 1) % LEVELS == 0:
+            # the nodes of deeper buckets are among these, so the whole table is shuffled once and not for each level
+            minhash = written(minhash.join(large.where(~alike).select("node").distinct(), "node"), "split-signatures")
+            held.append(minhash)
         # written, as both the sizes and the join with them read it
         rows = written(split(large.where(~alike).join(minhash, "node"), level, runs, choices), "parts")
         held.append(rows)
