@@ -168,25 +168,30 @@ def closed(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def merged(groups: DataFrame, block: int) -> DataFrame:
-    """(g, node), written: groups (g, node, alike), those around a common one made one where that is no more work.
+def merged(groups: DataFrame, block: int, block_items: int) -> DataFrame:
+    """(node, groups), the groups as structs (g, blocks): those around a common one made one where that is no more work.
 
-    A group is dealt to the first of the groups that it shares a node with, one by likeness if there is any. This is one
-    step and no search for components: groups that still share nodes afterwards do no harm.
+    groups: (node, n, groups), the groups as structs (loose, g). A group is dealt to the first of the groups that it
+    shares a node with, one by likeness if there is any. This is one step and no search for components: groups that still
+    share nodes afterwards do no harm. A node is in no more groups than its runs have leaves.
     """
-    order = F.struct((~F.col("alike")).alias("loose"), "g")
-    first = written(groups.groupBy("node").agg(F.min(order).alias("first")), "node-first")
-    label = written(groups.join(first, "node").groupBy("g").agg(F.min("first").alias("first")).select("g", F.col("first.g").alias("label")), "group-labels")
-    held = written(groups.join(label, "g"), "labelled-groups")
-    sizes = written(held.select("label", "node").distinct().groupBy("label").agg((F.count("*") <= block).alias("fits")), "label-sizes")
-    g = F.when(F.col("fits"), F.xxhash64("label")).when(F.col("alike"), F.xxhash64("label", F.lit(1))).otherwise(F.col("g"))
-    out = written(held.join(sizes, "label").select(g.alias("g"), "node").distinct(), "merged-groups")
-    forget(first, label, held, sizes)
+    first = groups.select(F.explode("groups.g").alias("g"), F.array_min("groups").alias("first"))
+    label = written(first.groupBy("g").agg(F.min("first").alias("first")).select("g", F.col("first.g").alias("label")), "group-labels")
+    flat = groups.select("node", "n", F.explode("groups").alias("x")).select("node", "n", "x.g", "x.loose")
+    held = flat.join(label, "g").groupBy("label", "node").agg(F.first("n").alias("n"), F.bool_or(~F.col("loose")).alias("alike"), F.collect_set(F.when(F.col("loose"), F.col("g"))).alias("own"))
+    held = held.select("node", "n", F.xxhash64("label").alias("whole"), F.concat("own", F.when(F.col("alike"), F.array(F.xxhash64("label", F.lit(1)))).otherwise(F.array().cast("array<bigint>"))).alias("parts"))
+    held = written(held, "labelled-groups")
+    # the merged groups and their parts are counted at once; which of them are taken shows afterwards
+    sizes = held.select(F.explode(F.concat(F.array("whole"), "parts")).alias("g"), "n").groupBy("g").agg(F.count("*").alias("nodes"), F.sum("n").alias("items"))
+    sizes = written(sizes.select("g", (F.col("nodes") <= block).alias("fits"), F.greatest(F.ceil(F.col("nodes") / block), F.ceil(F.col("items") / block_items)).cast("int").alias("blocks")), "group-sizes")
+    taken = held.join(sizes.select(F.col("g").alias("whole"), "fits"), "whole").select("node", F.explode(F.when(F.col("fits"), F.array("whole")).otherwise(F.col("parts"))).alias("g"))
+    out = written(taken.join(sizes.drop("fits"), "g").groupBy("node").agg(F.collect_list(F.struct("g", "blocks")).alias("groups")), "merged-groups")
+    forget(label, held, sizes)
     return out
 
 
-def groups_of(nodes: DataFrame, similarity: float, runs: int, choices: int, limit: int, block: int, fresh) -> DataFrame:
-    """(g, node), written: groups that hold all similar pairs, up to the recall. fresh(epoch): (node, minhash) with
+def groups_of(nodes: DataFrame, similarity: float, runs: int, choices: int, limit: int, block: int, block_items: int, fresh) -> DataFrame:
+    """(node, groups), written: groups that hold all similar pairs, up to the recall. fresh(epoch): (node, minhash) with
     coordinates that no epoch before had."""
     roots = nodes.select(F.posexplode("roots").alias("k", "bucket"), "node")
     rows = roots.select("bucket", F.floor(F.col("k") / choices).cast("int").alias("run"), "node", F.lit(None).cast("long").alias("parent"))
@@ -218,24 +223,23 @@ def groups_of(nodes: DataFrame, similarity: float, runs: int, choices: int, limi
     found = connected_in_bucket(small.join(nodes.select("node", "minhash"), "node"), similarity).withColumn("alike", F.lit(False))
     for x in alike_groups:
         found = found.unionByName(x.withColumn("alike", F.lit(True)))
-    found = written(found.distinct(), "groups")
+    found = found.groupBy("node").agg(F.collect_set(F.struct((~F.col("alike")).alias("loose"), "g")).alias("groups"))
+    found = written(found.join(nodes.select("node", "n"), "node"), "groups")
     forget(*held)
-    out = merged(found, block)
+    out = merged(found, block, block_items)
     forget(found)
     return out
 
 
-def compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text_col: str, shingle: int, similarity: float, block: int, block_items: int) -> DataFrame:
-    """Exact links inside the groups. docs: (id, digest, text); nodes: (node, rep, n, copies), rep an id and digest.
+def compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Exact links inside the groups. docs: (id, digest, text); nodes: (node, rep, copies), rep an id and digest; groups:
+    (node, groups).
 
     Rows (node, root, links, texts): of one comparison of blocks, the first node it is joined to, the documents it links
     to and the different sets among them.
     """
     t = Fraction(similarity).limit_denominator(10_000)
-    sizes = groups.join(nodes.select("node", "n"), "node").groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_items)).cast("int").alias("blocks"))
-    sizes = written(sizes, "group-sizes")
-    own = groups.join(sizes, "g").groupBy("node").agg(F.collect_list(F.struct("g", "blocks")).alias("groups"))
-    live = written(own.join(nodes.select("node", "rep", "copies"), "node").select("node", "rep.*", "groups", "copies"), "live")
+    live = written(groups.join(nodes.select("node", "rep", "copies"), "node").select("node", "rep.*", "groups", "copies"), "live")
 
     # rows equal in id and text all have a node's set; one is enough
     asked = live.where("copies > 0").select("id", "digest", "node", "groups", "copies")
@@ -285,8 +289,9 @@ def compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text_col: str
 
     rows = texts.mapInArrow(spread, f"g long, i int, j int, node {NODE}, own int, copies long, before array<long>, items binary")
     with filtered_scans(docs.sparkSession):
-        links = written(grouped(rows, ["g", "i", "j"], f"node {NODE}, root {NODE}, links long, texts long", fold), "links")
-    forget(sizes, live)
+        # in order of nodes, so that a root is the smallest of what it stands for
+        links = written(grouped(rows, ["g", "i", "j"], f"node {NODE}, root {NODE}, links long, texts long", fold, ["node"]), "links")
+    forget(live)
     return links
 
 
@@ -364,8 +369,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         again = signatures(docs, id_col, text_col, shingle, runs, choices, epoch)
         return written(again.groupBy("node").agg(F.first("minhash").alias("minhash")), "signatures")
 
-    groups = groups_of(nodes, similarity, runs, choices, limit, block, fresh)
-    links = compared(keyed(docs, id_col, text_col), nodes, groups, text_col, shingle, similarity, block, block_items)
+    groups = groups_of(nodes, similarity, runs, choices, limit, block, block_items, fresh)
+    links = compared(keyed(docs, id_col, text_col), nodes, groups, text_col, shingle, similarity)
     classes = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("node").agg(F.sum("links").alias("links"))
     graph = nodes.select("node", "rep", "copies").join(classes.withColumnRenamed("id", "node"), "node", "left").join(linked, "node", "left")
