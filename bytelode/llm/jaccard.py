@@ -235,9 +235,10 @@ def compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text_col: str
     """Exact links inside the groups. docs: (id, digest, text); nodes: (node, rep, copies), rep an id and digest; groups:
     (node, groups).
 
-    Rows (node, root, links, texts): of one comparison of blocks, the first node it is joined to, the documents it links
-    to and the different sets among them.
+    Rows (vertex, root, links): of one comparison of blocks, the first node that a node is joined to and the documents it
+    links to. Nodes go by their rep, a struct (id, digest), so that the smallest of a class is its name.
     """
+    kind = docs.schema["id"].dataType.simpleString()
     t = Fraction(similarity).limit_denominator(10_000)
     live = written(groups.join(nodes.select("node", "rep", "copies"), "node").select("node", "rep.*", "groups", "copies"), "live")
 
@@ -250,9 +251,9 @@ def compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text_col: str
             for part in slices(batch, text_col):
                 g, off = sets_of(column(part, text_col), shingle)
                 for r in range(part.num_rows):
-                    yield from sent(column(part, "node")[r].as_py(), column(part, "groups")[r].as_py(), column(part, "copies").slice(r, 1), g[off[r] : off[r + 1]].tobytes())
+                    yield from sent(column(part, "node")[r].as_py(), column(part, "groups")[r].as_py(), part.select(["id", "digest", "copies"]).slice(r, 1), g[off[r] : off[r + 1]].tobytes())
 
-    def sent(node, groups_, copies, items):
+    def sent(node, groups_, row, items):
         number = int.from_bytes(node[:8], "little")
         for x in groups_:
             g, n = x["g"], x["blocks"]
@@ -262,13 +263,14 @@ def compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text_col: str
             for low in range(0, n, 8):
                 other = np.arange(low, min(n, low + 8))
                 m = len(other)
+                same = row.take(pa.array(np.zeros(m, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([g] * m, pa.int64()), pa.array(np.minimum(other, k), pa.int32()), pa.array(np.maximum(other, k), pa.int32()), pa.array([node] * m, pa.binary()), pa.array(np.full(m, k), pa.int32()), copies.take(pa.array(np.zeros(m, np.int64))), pa.array([before] * m, pa.list_(pa.int64())), pa.array([items] * m, pa.binary())],
-                    names=["g", "i", "j", "node", "own", "copies", "before", "items"],
+                    [pa.array([g] * m, pa.int64()), pa.array(np.minimum(other, k), pa.int32()), pa.array(np.maximum(other, k), pa.int32()), *same.columns, pa.array(np.full(m, k), pa.int32()), pa.array([before] * m, pa.list_(pa.int64())), pa.array([items] * m, pa.binary())],
+                    names=["g", "i", "j", "id", "digest", "copies", "own", "before", "items"],
                 )
 
     def fold(parts):
-        nodes_ = [x for p in parts for x in column(p, "node").to_pylist()]
+        ids, digests = (pa.concat_arrays([column(p, c) for p in parts]) for c in ("id", "digest"))
         own, copies = (np.concatenate([np.asarray(column(p, c)) for p in parts]) for c in ("own", "copies"))
         sets_ = [np.frombuffer(x, np.uint64) for p in parts for x in column(p, "items").to_pylist()]
         size = np.array([len(x) for x in sets_])
@@ -284,13 +286,14 @@ def compared(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text_col: str
             near &= overlaps(held) == 0
         some = np.flatnonzero(near.any(1))
         if len(some):
-            label = closed(near)
-            yield pa.RecordBatch.from_arrays([pa.array([nodes_[i] for i in some], pa.binary()), pa.array([nodes_[label[i]] for i in some], pa.binary()), pa.array((near @ copies)[some].astype(np.int64)), pa.array(near.sum(1)[some].astype(np.int64))], names=["node", "root", "links", "texts"])
+            root = pa.array(closed(near)[some])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), digests.take(pa.array(some)), ids.take(root), digests.take(root), pa.array((near @ copies)[some].astype(np.int64))], names=["id", "digest", "root_id", "root_digest", "links"])
 
-    rows = texts.mapInArrow(spread, f"g long, i int, j int, node {NODE}, own int, copies long, before array<long>, items binary")
+    rows = texts.mapInArrow(spread, f"g long, i int, j int, id {kind}, digest long, copies long, own int, before array<long>, items binary")
     with filtered_scans(docs.sparkSession):
         # in order of nodes, so that a root is the smallest of what it stands for
-        links = written(grouped(rows, ["g", "i", "j"], f"node {NODE}, root {NODE}, links long, texts long", fold, ["node"]), "links")
+        found = grouped(rows, ["g", "i", "j"], f"id {kind}, digest long, root_id {kind}, root_digest long, links long", fold, ["id", "digest"])
+        links = written(found.select(F.struct("id", "digest").alias("vertex"), F.struct(F.col("root_id").alias("id"), F.col("root_digest").alias("digest")).alias("root"), "links"), "links")
     forget(live)
     return links
 
@@ -371,14 +374,13 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     groups = groups_of(nodes, similarity, runs, choices, limit, block, block_items, fresh)
     links = compared(keyed(docs, id_col, text_col), nodes, groups, text_col, shingle, similarity)
-    classes = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    linked = links.groupBy("node").agg(F.sum("links").alias("links"))
-    graph = nodes.select("node", "rep", "copies").join(classes.withColumnRenamed("id", "node"), "node", "left").join(linked, "node", "left")
-    graph = written(graph.select("node", "rep", F.coalesce("label", "node").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies")), "graph")
-    names = written(graph.groupBy("label").agg(F.min("rep").alias("first")).select("label", F.col("first.id").alias("class_id"), F.col("first.digest").alias("class_digest")), "classes")
-    named = written(graph.join(names, "label").select("node", "class_id", "class_digest", "n_links", "n_copies"), "named")
-    forget(nodes, groups, links, graph, names)
-    rows = marked.select("id", "digest", "node").join(named, "node").select(F.col("id").alias(id_col), "digest", "class_id", "class_digest", "n_links", "n_copies")
+    classes = connected_components(links.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
+    linked = links.groupBy("vertex").agg(F.sum("links").alias("links"))
+    graph = nodes.select("node", F.col("rep").alias("vertex"), "copies").join(classes.withColumnRenamed("id", "vertex"), "vertex", "left").join(linked, "vertex", "left")
+    label = F.coalesce("label", "vertex")
+    graph = written(graph.select("node", label["id"].alias("class_id"), label["digest"].alias("class_digest"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies")), "classes")
+    forget(nodes, groups, links)
+    rows = marked.select("id", "digest", "node").join(graph, "node").select(F.col("id").alias(id_col), "digest", "class_id", "class_digest", "n_links", "n_copies")
     has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
     alone = docs.where(F.col(id_col).isNull() | ~has_words).select(id_col, F.xxhash64(text_col).alias("digest"), F.col(id_col).alias("class_id"), F.xxhash64(text_col).alias("class_digest"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return rows.unionByName(alone)
