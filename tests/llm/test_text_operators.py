@@ -237,6 +237,21 @@ def test_benchmark_blocks_are_small():
     assert sum(x.nbytes for x in held) < 14 * sum(map(len, texts)) + (4 << 20)
 
 
+def test_benchmark_blocks_do_not_follow_the_tasks(spark, monkeypatch):
+    frame = type(spark.range(0))
+    dealt = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: dealt(self, max(n, 61), *cols))
+    bench = spark.createDataFrame([(i, f"some words of item {i} " * 5) for i in range(300)], "item_id long, text string")
+    total = sum(len(r.text) for r in bench.collect())
+
+    def blocks(block_bytes):
+        return [decontaminate.Block.load(bytes(r.block)) for r in decontaminate.build_blocks(bench, "item_id", "text", 10, block_bytes).collect()]
+
+    assert len(blocks(1 << 20)) == 1
+    some = blocks(total // 6)
+    assert len(some) <= 14 and sorted(n for b in some for n in b.names) == sorted(map(str, range(300))) and all(len(b.words.buf) <= total // 6 for b in some)
+
+
 def test_patterns_of_equal_hash_stay_apart(monkeypatch):
     import pyarrow as pa
 
