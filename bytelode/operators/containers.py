@@ -1,12 +1,16 @@
 """ZIP archives as tables: a row for each member.
 
 Members are deflated and inflated in parallel. An archive is put together from its members' records by aggregates:
-offsets are a running sum over lengths, so only metadata pass through the window.
+offsets are a running sum over lengths, so only metadata pass through the window. An archive is read by its directory:
+SQL cuts the directory and then each member out of the value, so that Python gets these and never a whole archive.
 """
 
 from __future__ import annotations
 
 import os
+import struct
+from collections.abc import Callable
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,10 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions import archive as A
 from ..functions import columns as C
-from ..functions import framing
 from ..functions.options import CodecError, Options
 from ..functions.paths import is_unsafe, normalize_member, safe_path
-from .streams import explode_bytes
+from .streams import explode_rows, small_batches
 
 ENTRY_SCHEMA = "ordinal int, filename string, file_size long, compress_size long, crc long, compress_type int, mtime long, comment binary, external_attr long, header_offset long, is_dir boolean"
 MEMBER_SCHEMA = ENTRY_SCHEMA + ", data binary, error string"
@@ -35,19 +38,92 @@ def entry_rows(data: bytes) -> list[dict]:
 
 def _read(data: bytes, e: A.Entry) -> dict:
     try:
-        return _entry(e) | {"data": A.read_member(data, e)}
+        return {"data": A.read_member(data, e)}
     except CodecError as error:
-        return _entry(e) | {"error": str(error)}
+        return {"error": str(error)}
+
+
+def _explained(f, problem: str):
+    """``f`` with ``problem`` before what it says of a bad archive."""
+
+    def run(*args):
+        try:
+            return f(*args)
+        except CodecError as e:
+            raise CodecError(problem + str(e)) from None
+
+    return run
+
+
+_ENTRY_TYPES = [(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]]) for x in ENTRY_SCHEMA.split(", ")]
+
+
+def _directory_entries(problem: str) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """From directories and where they begin: lists of their entries, column by column."""
+    read = _explained(A.catalog, problem)
+
+    def run(directories: pa.Array, starts: pa.Array) -> pa.Array:
+        offsets, columns, n = [], [[] for _ in _ENTRY_TYPES], 0
+        for data, start in zip(directories, starts, strict=True):
+            offsets.append(n if data.is_valid else None)
+            entries = read(data.as_py(), start.as_py())[0] if data.is_valid else []
+            for own, (name, _) in zip(columns, _ENTRY_TYPES, strict=True):
+                own += [getattr(e, name) for e in entries]
+            n += len(entries)
+        fields = pa.StructArray.from_arrays([pa.array(own, t) for own, (_, t) in zip(columns, _ENTRY_TYPES, strict=True)], names=[name for name, _ in _ENTRY_TYPES])
+        return pa.ListArray.from_arrays(pa.array([*offsets, n], pa.int32()), fields)
+
+    return run
+
+
+def _with_directory(archives: DataFrame, keys: list[str], content: str, problem: str = "") -> DataFrame:
+    """(keys, content, __size, __start, __directory): archives with the bytes from the beginning of their directories."""
+    small_batches(archives.sparkSession)
+    size = F.octet_length(content)
+    gap = F.greatest(size - A.TAIL, F.lit(0))
+    found = archives.select(*keys, content, size.alias("__size"), gap.alias("__gap"), F.substr(F.col(content), gap + 1, F.lit(A.TAIL)).alias("__tail"))
+    found = found.withColumn("__start", C.arrow_function("long", _explained(A.directory_start, problem), "__tail", "__gap"))
+    return found.select(*keys, content, "__size", "__start", F.substr(F.col(content), F.col("__start").cast("int") + 1, F.col("__size")).alias("__directory"))
+
+
+def _entries(problem: str = "") -> Column:
+    """The list of entries of a __directory."""
+    return F.arrow_udf(_directory_entries(problem), f"array<struct<{', '.join(x.replace(' ', ': ') for x in ENTRY_SCHEMA.split(', '))}>>")("__directory", "__start")
+
+
+def _number(data: Column, at: Column) -> Column:
+    """Two bytes, the lower one first."""
+    low, high = (F.conv(F.hex(F.substr(data, at + k, F.lit(1))), 16, 10).cast("int") for k in (1, 2))
+    return low + 256 * high
+
+
+def _record(data: Column, size: Column, e: Column) -> Column:
+    """A member's local header and its stored bytes; less where the archive ends before."""
+    at = F.least(e["header_offset"], size.cast("long")).cast("int")
+    left = size - at
+    names = F.when(left >= 30, _number(data, at + 26) + _number(data, at + 28)).otherwise(0)
+    return F.substr(data, at + 1, F.least(30 + names + F.least(e["compress_size"], left.cast("long")), left.cast("long")).cast("int"))
+
+
+def _each_member(archives: DataFrame, keys: list[str], content: str, schema: str, f, problem: str = "") -> DataFrame:
+    """Rows that ``f`` makes of each member's record and entry."""
+    names = [name for name, _ in _ENTRY_TYPES if name != "is_dir"]
+    # the outer lambda holds the value of the column, which the inner one would copy for each member
+    cut = F.transform(F.array(content), lambda c: F.transform("__entries", lambda e: F.struct(_record(c, F.col("__size"), e).alias("__record"), *(e[name].alias(name) for name in names))))
+    found = _with_directory(archives, keys, content, problem).withColumn("__entries", _entries(problem))
+    members = found.select(*keys, F.explode(cut[0]).alias("__m")).select(*keys, F.col("__m.__record").alias("__record"), *(F.col(f"__m.{name}").alias(f"__{name}") for name in names))
+    return explode_rows(members, keys, ["__record", *(f"__{name}" for name in names)], schema, lambda record, *own: [f(record, A.Entry(*own))])
 
 
 def zip_entries(archives: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """The catalog of each archive; no member is read."""
-    return explode_bytes(archives, keys, content, ENTRY_SCHEMA, entry_rows)
+    found = _with_directory(archives, keys, content)
+    return found.select(*keys, F.explode(_entries()).alias("__e")).select(*keys, "__e.*")
 
 
 def zip_members(archives: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """The catalog with each member's data, or the error of reading it."""
-    return explode_bytes(archives, keys, content, MEMBER_SCHEMA, lambda d: [_read(d, e) for e in A.catalog(d)[0]])
+    return _each_member(archives, keys, content, MEMBER_SCHEMA, lambda record, e: _entry(e) | _read(record, replace(e, header_offset=0)))
 
 
 def date_time(mtime: Column) -> Column:
@@ -132,19 +208,34 @@ def packed_members(rows: DataFrame, keys: list[str], opts: Options = Options())
     return packed.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), "filename", "__p.method", "__p.crc", F.octet_length("data").cast("long").alias("raw_len"), "__p.stored", "mtime", "comment", attr.alias("external_attr"))
 
 
+#: Where a central header has its member's offset. An archive is one value, so that offsets never need 64 bits.
+_OFFSET_AT = 42
+
+
+def _directory_end(n: Column, size: Column, at: Column, comment: Column) -> Column:
+    """``framing.directory_end`` in SQL, for archives of at most 2 GiB."""
+    wide = F.concat(F.lit(struct.pack("<IQHHII", 0x06064B50, 44, 45, 45, 0, 0)), *(C.pack_little_endian(x, 8) for x in (n, n, size, at)), F.lit(struct.pack("<II", 0x07064B50, 0)), C.pack_little_endian(at + size, 8), F.lit(struct.pack("<I", 1)))
+    count, length = C.pack_little_endian(F.least(n, F.lit(0xFFFF)), 2), F.octet_length(comment)
+    length = F.when(length > 0xFFFF, F.raise_error(F.lit("an archive's comment is too long")).cast("int")).otherwise(length)
+    end = F.concat(F.lit(struct.pack("<IHH", 0x06054B50, 0, 0)), count, count, C.pack_little_endian(size, 4), C.pack_little_endian(at, 4), C.pack_little_endian(length, 2), comment)
+    return F.concat(F.when(n > 0xFFFE, wide).otherwise(F.unhex(F.lit(""))), end)
+
+
 def zip_assemble(packed: DataFrame, keys: list[str], comments: DataFrame | None = None) -> DataFrame:
     """(keys, content, members): an archive for each key of packed members. comments: (keys, comment) of archives."""
     size = F.octet_length("stored").cast("long")
     local = C.arrow_function("binary", A.local_header, "filename", "method", "mtime", "crc", size, "raw_len")
-    packed = packed.withColumn("__size", size).withColumn("__local", local)
+    central = C.arrow_function("binary", A.central_header, "filename", "method", "mtime", "crc", size, "raw_len", F.lit(0).cast("long"), "comment", "external_attr")
+    packed = packed.withColumns({"__size": size, "__local": local, "__central": central})
+    # no Python behind the window: its partitions serve the aggregate too, so that members are shuffled once
     order = Window.partitionBy(*keys).orderBy("ordinal")
     before = F.coalesce(F.sum(F.octet_length("__local") + F.col("__size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     packed = packed.withColumn("__offset", before)
-    central = C.arrow_function("binary", A.central_header, "filename", "method", "mtime", "crc", "__size", "raw_len", "__offset", "comment", "external_attr")
-    packed = packed.withColumn("__central", central).withColumn("__record", F.concat("__local", "stored"))
-    whole = packed.groupBy(*keys).agg(F.expr("listagg(__record) WITHIN GROUP (ORDER BY ordinal)").alias("__body"), F.expr("listagg(__central) WITHIN GROUP (ORDER BY ordinal)").alias("__dir"), F.count("*").alias("members"))
+    header = F.concat(F.substr("__central", F.lit(1), F.lit(_OFFSET_AT)), C.pack_little_endian(F.col("__offset"), 4), F.substr("__central", F.lit(_OFFSET_AT + 5)))
+    packed = packed.select(*keys, "ordinal", header.alias("__header"), F.concat("__local", "stored").alias("__record"))
+    whole = packed.groupBy(*keys).agg(F.expr("listagg(__record) WITHIN GROUP (ORDER BY ordinal)").alias("__body"), F.expr("listagg(__header) WITHIN GROUP (ORDER BY ordinal)").alias("__dir"), F.count("*").alias("members"))
     whole = whole.withColumn("__comment", F.unhex(F.lit(""))) if comments is None else whole.join(comments.withColumnRenamed("comment", "__comment"), keys, "left")
-    end = C.arrow_function("binary", lambda n, d, b, c: framing.directory_end(n, d, b, c or b""), "members", F.octet_length("__dir").cast("long"), F.octet_length("__body").cast("long"), "__comment")
+    end = _directory_end(F.col("members"), F.octet_length("__dir").cast("long"), F.octet_length("__body").cast("long"), F.coalesce("__comment", F.unhex(F.lit(""))))
     return whole.select(*keys, F.concat("__body", "__dir", end).alias("content"), "members")
 
 
@@ -157,16 +248,14 @@ def zip_build(rows: DataFrame, keys: list[str], opts: Options = Options(), comme
 PACKED_SCHEMA = "ordinal long, filename string, method int, crc long, raw_len long, stored binary, mtime long, comment binary, external_attr long"
 
 
-def _packed(data: bytes) -> list[dict]:
-    """Members as they lie in an archive, each read once to see that it is whole."""
-    out = []
-    try:
-        for e in A.catalog(data)[0]:
-            A.read_member(data, e)
-            out.append({"ordinal": e.ordinal, "filename": e.filename, "method": e.compress_type, "crc": e.crc, "raw_len": e.file_size, "stored": A.stored_member(data, e), "mtime": e.mtime or 0, "comment": e.comment, "external_attr": e.external_attr})
-    except CodecError as error:
-        raise CodecError(f"can't append to a corrupt archive: {error}") from None
-    return out
+_CORRUPT = "can't append to a corrupt archive: "
+
+
+def _packed(record: bytes, e: A.Entry) -> dict:
+    """A member as it lies in its archive, read once to see that it is whole."""
+    own = replace(e, header_offset=0)
+    _explained(A.read_member, _CORRUPT)(record, own)
+    return {"ordinal": e.ordinal, "filename": e.filename, "method": e.compress_type, "crc": e.crc, "raw_len": e.file_size, "stored": A.stored_member(record, own), "mtime": e.mtime or 0, "comment": e.comment, "external_attr": e.external_attr}
 
 
 def zip_append(archives: DataFrame, rows: DataFrame, keys: list[str], opts: Options = Options(), content: str = "content") -> DataFrame:
@@ -175,7 +264,7 @@ def zip_append(archives: DataFrame, rows: DataFrame, keys: list[str], opts: Opti
     The old members keep their stored bytes, dates, comments and attributes, and the archive its comment. Extra fields of
     headers are written anew.
     """
-    old = explode_bytes(archives, keys, content, PACKED_SCHEMA, _packed)
+    old = _each_member(archives, keys, content, PACKED_SCHEMA, _packed, _CORRUPT)
     last = old.groupBy(*keys).agg(F.max("ordinal").alias("__last"))
     new = rows.join(last, keys, "left").withColumn("ordinal", F.col("ordinal").cast("long") + F.coalesce(F.col("__last") + 1, F.lit(0))).drop("__last")
     return zip_assemble(old.unionByName(packed_members(new, keys, opts)), keys, archive_comments(archives, keys, content))
@@ -183,7 +272,8 @@ def zip_append(archives: DataFrame, rows: DataFrame, keys: list[str], opts: Opti
 
 def archive_comments(archives: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """(keys, comment) of each archive."""
-    return archives.select(*keys, C.arrow_function("binary", lambda d: A.catalog(d)[2], content).alias("comment"))
+    comment = C.arrow_function("binary", lambda d, start: A.catalog(d, start)[2], "__directory", "__start")
+    return _with_directory(archives, keys, content).select(*keys, comment.alias("comment"))
 
 
 def extract(members: DataFrame, folder: str) -> int:
@@ -232,6 +322,6 @@ def register_functions(spark: SparkSession) -> None:
         spark.udtf.register(name, udtf(Rows, returnType=schema))
 
     table_function("zip_entries", ENTRY_SCHEMA, entry_rows)
-    table_function("zip_members", MEMBER_SCHEMA, lambda d: [_read(d, e) for e in A.catalog(d)[0]])
+    table_function("zip_members", MEMBER_SCHEMA, lambda d: (_entry(e) | _read(d, e) for e in A.catalog(d)[0]))
     table_function("gzip_members", STREAM_SCHEMA, member_rows)
     table_function("png_chunks", "ordinal int, type string, length int, data binary, crc long", lambda d: [{"ordinal": i, "type": k.decode("latin-1"), "length": len(b), "data": b, "crc": c} for i, (k, b, c) in enumerate(png.chunks(d))])

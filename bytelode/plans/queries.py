@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    S.small_batches(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")  # dates in archives have no zone; they are taken in UTC
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

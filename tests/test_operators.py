@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import os
 import random
 import re
 import zipfile
@@ -147,6 +148,43 @@ def test_broken_archives(archives):
         Z.zip_append(bad, members.limit(0).select("archive", "ordinal", "filename", "data"), ["archive"]).collect()
 
 
+def test_python_gets_no_whole_archive(archives):
+    for d in (Z.zip_members(archives, ["archive"]), Z.zip_entries(archives, ["archive"]), Z.archive_comments(archives, ["archive"]), Z.zip_append(archives, archives.limit(0).selectExpr("archive", "1L ordinal", "'' filename", "X'' data"), ["archive"])):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        # as an argument of its own; substrings of it are cut before
+        assert "run(" in plan and not re.search(r"run\((?:[^()]*, )?content#", plan)
+
+
+def test_odd_archives_are_read_by_their_directories(spark):
+    def zipped(members, comment=b"", kind=zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", kind) as z:
+            for name, data in members:
+                z.writestr(name, data)
+            z.comment = comment
+        return out.getvalue()
+
+    big = [(f"é{k}", os.urandom(50_000) + TEXT) for k in range(5)]
+    whole = zipped(big, b"c" * 0xFFFF)
+    at = archive.catalog(whole)[0][2].header_offset
+    cases = {"none": zipped([]), "long comment": whole, "many": zipped([(str(k), b"") for k in range(66_000)], b"c" * 0xFFFF), "stored": zipped(big, b"PK\x05\x06", zipfile.ZIP_STORED), "header": whole[:at] + b"!" + whole[at + 1 :], "names": whole[: at + 26] + b"\xff\xff\xff\xff" + whole[at + 30 :], "null": None}
+    frame = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in cases.items()], "archive string, content binary")
+    want = {(k, e.ordinal): (e.filename, e.header_offset, Z._read(v, e)) for k, v in cases.items() if v for e in archive.catalog(v)[0]}
+    got = {(r.archive, r.ordinal): (r.filename, r.header_offset, {"error": r.error} if r.error else {"data": bytes(r.data)}) for r in Z.zip_members(frame, ["archive"]).toLocalIterator()}
+    assert got == want and sum("error" in x for _, _, x in got.values()) == 2
+    assert Z.zip_entries(frame, ["archive"]).count() == len(want)
+    assert {r.archive: None if r.comment is None else len(r.comment) for r in Z.archive_comments(frame, ["archive"]).collect()} == {"none": 0, "long comment": 0xFFFF, "many": 0xFFFF, "stored": 4, "header": 0xFFFF, "names": 0xFFFF, "null": None}
+    for bad in (b"too short", whole[:-1], b"x" * 100_000):
+        with pytest.raises(Exception, match="archive|directory"):
+            Z.zip_members(spark.createDataFrame([("a", bytearray(bad))], "archive string, content binary"), ["archive"]).collect()
+
+
+def test_archives_of_many_members(spark):
+    d = spark.range(66_000).selectExpr("'a' AS archive", "id AS ordinal", "cast(id AS string) AS filename", "encode(cast(id AS string), 'UTF-8') AS data")
+    z = zipfile.ZipFile(io.BytesIO(bytes(Z.zip_build(d, ["archive"]).first().content)))
+    assert len(z.namelist()) == 66_000 and z.read("65999") == b"65999"
+
+
 def test_append(spark, archives):
     more = spark.createDataFrame([("x", 0, "new.txt", bytearray(b"new")), ("z", 0, "first.txt", bytearray(b"first"))], "archive string, ordinal long, filename string, data binary")
     built = {r.archive: zipfile.ZipFile(io.BytesIO(bytes(r.content))) for r in Z.zip_append(archives, more, ["archive"]).collect()}
