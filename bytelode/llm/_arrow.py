@@ -35,6 +35,12 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def bytes_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
+    """The bytes of its strings."""
+    own = column(batch, name)
+    return own.cast(pa.large_binary() if pa.types.is_large_string(own.type) else pa.binary()).to_pylist()
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """Its strings, null as empty."""
     return [x or "" for x in column(batch, name).to_pylist()]

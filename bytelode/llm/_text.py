@@ -165,5 +165,17 @@ def spans_to_mask(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def union_of_spans(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Half-open spans of rows, in order of row and start, with those that overlap or touch made one; bounds under 2**31."""
+    if not len(row):
+        return row, start, end
+    low, high = (row << 32) + start, (row << 32) + end
+    order = np.argsort(low, kind="stable")
+    low, reach = low[order], np.maximum.accumulate(high[order])
+    opens = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]]))
+    last = np.concatenate([opens[1:], [len(low)]]) - 1
+    return low[opens] >> 32, low[opens] & 0xFFFFFFFF, reach[last] & 0xFFFFFFFF
+
+
 def i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))

@@ -133,6 +133,45 @@ def test_substrings_compare_words_not_hashes(spark):
     assert sorted(r.id for r in substrings.verified(rows, copies).collect()) == [2, 3]
 
 
+def test_substrings_read_words_once_not_for_each_copy(spark, monkeypatch):
+    """Windows that overlap, and lines that a document repeats, are compared as one span; long ones in cells."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(900)]
+    texts = {0: passage}
+    for i in range(1, 12):
+        own = list(passage)
+        for _ in range(6):
+            own[rng.randrange(900)] = f"x{i}y{rng.random()}"
+        texts[i] = own
+    texts[12] = [f"l{i}" for i in range(9)] * 150
+    texts[13] = ["a"] + [f"l{i}" for i in range(9)] * 60 + passage[:400] + ["same"] * 300
+    read, words_at = [], substrings.words_at
+    monkeypatch.setattr(substrings, "words_at", lambda rows, places: read.append(places.agg(F.sum("n")).first()[0] or 0) or words_at(rows, places))
+    frame = spark.createDataFrame([(str(10 + i), " ".join(t)) for i, t in texts.items()], "doc_id string, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.removed_spans), r.kept_text) for r in substrings.remove_later_copies(frame).collect()}
+    want = removed({str(10 + i): " ".join(t) for i, t in texts.items()})
+    assert got == want
+    # each copy and its source, and a little for the ends
+    assert sum(read) <= 2.2 * sum(n for _, n, _ in want.values())
+
+
+def test_substrings_compare_spans_with_their_sources(spark):
+    """One word of a long span that isn't its source's is found; then copies are judged one by one."""
+    passage = [f"p{i}" for i in range(700)]
+    other = [*passage[:400], "x", *passage[401:]]
+    texts = {None: passage, 1: passage, 2: other, 3: passage[100:]}
+    rows = substrings.keyed(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string"), "doc_id", "text")
+    first = rows.where("id IS NULL").select(F.struct("id", "digest", F.when(F.col("id").isNull(), 0).alias("at")).alias("first"))
+    whole = rows.where("id IN (1, 2)").crossJoin(first).select(F.lit("k").alias("key"), "id", "digest", F.lit(0).alias("at"), F.lit(700).alias("n"), "first")
+    ends = rows.where("id = 3").crossJoin(first).select(F.lit("e").alias("key"), "id", "digest", F.lit(0).alias("at"), F.lit(20).alias("n"), F.struct("first.id", "first.digest", F.lit(100).alias("at")).alias("first"))
+    some = whole.where("id = 1").unionByName(ends)
+    places = lambda frame: sorted((r.id, r.at, r.n) for r in frame.collect())
+    assert places(substrings.settled(rows, substrings.merged(some), some)) == [(1, 0, 700), (3, 0, 20)]
+    every = whole.unionByName(ends)
+    assert [(r.id, r.at // substrings.CELL) for r in substrings.differing(rows, substrings.merged(every)).collect()] == [(2, 400 // substrings.CELL)]
+    assert places(substrings.settled(rows, substrings.merged(every), every)) == [(1, 0, 700), (3, 0, 20)]
+
+
 def test_substrings_compact_paths_without_branches(spark):
     """A passage in many documents is one long path, not one for each minimizer."""
     passage = " ".join(f"p{i}" for i in range(400))
